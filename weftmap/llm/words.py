@@ -12,8 +12,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Distinct words whose ids a worker keeps; at some 200 bytes each.
-CACHE_WORDS = 400_000
+#: Distinct words whose ids a worker keeps; at some 210 bytes each.
+CACHE_WORDS = 1_200_000
 #: Longer parts are encoded, but not kept.
 CACHE_LENGTH = 64
 
