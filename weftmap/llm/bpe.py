@@ -36,7 +36,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 TRIE_BYTES = 256
 #: Stands for the token before the first one.
 START = 1 << 19
-CACHE_UNITS = 500_000
+CACHE_UNITS = 1_000_000
 ROWS = 256
 
 
