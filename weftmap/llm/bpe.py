@@ -12,8 +12,8 @@ are read off by following last tokens back from its end.
 Defined cases: null text is empty and has no ids; a special token's string inside a text
 is that token, as the library has it; lone surrogates can't occur in Spark strings;
 repeated rows give repeated rows; an empty table gives no rows; columns other than the
-two named are ignored. Words of more than ``TRIE_BYTES`` bytes are walked on their own
-and not kept, so that one endless word costs its own length only.
+two named are ignored. An endless word is one path of the trie and isn't kept, so it
+costs its own length only.
 """
 
 from __future__ import annotations
@@ -23,20 +23,22 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .words import forget
 
 #: The pattern that this kind of vocabulary splits texts by (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-TRIE_BYTES = 256
 #: Stands for the token before the first one.
 START = 1 << 19
-CACHE_UNITS = 1_000_000
+#: Marks that are words of their own after letters.
+_MARKS = frozenset(".,;:!?")
+CACHE_UNITS = 700_000
 ROWS = 256
 
 
@@ -65,12 +67,14 @@ class TrieBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
         self.sizes = {i: len(b) for i, b in self.pieces.items()}
+        self.codes = {i: i.to_bytes(4, "little") for i in self.pieces}
         self._automaton()
         self.pattern = regex.compile(PATTERN)
         self.special_pattern = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.fits: dict[int, bool] = {}
+        self.steps: dict[int, int] = {}
         self.cache_units = cache_units
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain merging, lowest rank first; used on two tokens' bytes only."""
@@ -123,63 +127,76 @@ class TrieBpe:
             state = fail[state]
         return after or 0
 
-    def last_token(self, end: int, state: int, last: list[int]) -> int:
-        """The last token of a prefix of end bytes; last has those of the shorter ones."""
-        fits = self.fits
-        for size, token in self.ending[state]:
-            before = last[end - size]
-            known = fits.get(before << 20 | token)
-            if known is None:
-                known = self.compatible(before, token)
-            if known:
-                return token
-        raise ValueError("no token ends a prefix; the vocabulary lacks single bytes")
-
-    def read_off(self, end: int, last: list[int]) -> tuple[int, ...]:
-        out = []
+    def read_off(self, end: int, last: list[int]) -> bytes:
+        out, sizes, codes = [], self.sizes, self.codes
         while end:
-            out.append(last[end])
-            end -= self.sizes[last[end]]
-        return tuple(reversed(out))
-
-    def encode_words(self, words: set[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Ids of distinct words, by one walk of their trie."""
-        out: dict[bytes, tuple[int, ...]] = {}
-        root: dict = {}
-        for word in words:
-            if len(word) > TRIE_BYTES:
-                last, state = [START], 0
-                for end, byte in enumerate(word, 1):
-                    state = self.step(state, byte)
-                    last.append(self.last_token(end, state, last))
-                out[word] = self.read_off(len(word), last)
-                continue
-            node = root
-            for byte in word:
-                after = node.get(byte)
+            token = last[end]
+            out.append(codes[token])
+            end -= sizes[token]
+        out.reverse()
+        return b"".join(out)
+
+    def encode_words(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct words, by one depth-first walk of their trie.
+
+        The trie is the sorted list of the words: a node is a prefix, its words stand
+        together, and sorted order is depth-first order. What the path to the next word
+        shares with the one before keeps its states and last tokens.
+        """
+        out: dict[bytes, bytes] = {}
+        last, states, path = [START], [0], b""
+        steps, fits, ending = self.steps, self.fits, self.ending
+        for word in sorted(words):
+            depth = 0
+            for x, y in zip(path, word):
+                if x != y:
+                    break
+                depth += 1
+            del last[depth + 1 :], states[depth + 1 :]
+            path, state = word, states[depth]
+            for byte in word[depth:]:
+                depth += 1
+                after = steps.get(state << 8 | byte)
                 if after is None:
-                    after = node[byte] = {}
-                node = after
-            node[-1] = word
-        last = [START]
-        todo = [(1, byte, child, 0) for byte, child in root.items()]
-        while todo:
-            depth, byte, node, state = todo.pop()
-            del last[depth:]
-            state = self.step(state, byte)
-            last.append(self.last_token(depth, state, last))
-            for key, child in node.items():
-                if key == -1:
-                    out[child] = self.read_off(depth, last)
+                    after = steps[state << 8 | byte] = self.step(state, byte)
+                state = after
+                # the last token of this prefix is the one that is compatible with what stands before it
+                for size, token in ending[state]:
+                    before = last[depth - size]
+                    known = fits.get(before << 20 | token)
+                    if known is None:
+                        known = self.compatible(before, token)
+                    if known:
+                        break
                 else:
-                    todo.append((depth + 1, key, child, state))
+                    raise ValueError("no token ends a prefix; the vocabulary lacks single bytes")
+                last.append(token)
+                states.append(state)
+            out[word] = self.read_off(depth, last)
+        if len(steps) > 2_000_000:
+            steps.clear()
         return out
 
-    def encode_units(self, units: set[str]) -> dict[str, tuple[int, ...]]:
-        """Units are whole numbers of words."""
-        words = {u: [w.encode("utf-8") for w in self.pattern.findall(u)] for u in units}
-        ids = self.encode_words({w for ws in words.values() for w in ws})
-        return {u: tuple(chain.from_iterable(ids[w] for w in ws)) for u, ws in words.items()}
+    def words_of(self, unit: str) -> list[str]:
+        """The words of a unit; letters alone, or with one mark after them, need no pattern."""
+        body = unit[1:] if unit[:1] == " " else unit
+        if body.isalpha():
+            return [unit]
+        if body[-1:] in _MARKS and body[:-1].isalpha():
+            return [unit[:-1], unit[-1]]
+        return self.pattern.findall(unit)
+
+    def encode_units(self, units: set[str]) -> dict[str, bytes]:
+        """Units are whole numbers of words; words met before aren't put into the trie again."""
+        kept = self.kept
+        words = {u: self.words_of(u) for u in units}
+        fresh = {w for ws in words.values() for w in ws if w not in kept}
+        ids = self.encode_words({w.encode("utf-8") for w in fresh})
+        known = {w: ids[w.encode("utf-8")] for w in fresh}
+        for u, ws in words.items():
+            if len(ws) != 1:
+                known[u] = b"".join([known[w] if w in known else kept[w] for w in ws])
+        return known
 
     #: Between two characters that aren't white space, a word begins at a single space.
     _BORDER = re.compile(r"(?<=\S)(?= \S)")
@@ -192,41 +209,51 @@ class TrieBpe:
         return [first, *[" " + r for r in rest]]
 
     def encode(self, text: str | None) -> list[int]:
+        """The ids of a whole text."""
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+
+    def encode_bytes(self, text: str | None) -> bytes:
+        """The same as little-endian unsigned 32-bit integers."""
         if not text:
-            return []
+            return b""
         if self.special_pattern and self.special_pattern.search(text):
             out, at = [], 0
             for m in self.special_pattern.finditer(text):
-                out += [*self._encode(text[at : m.start()]), self.special[m[0]]]
+                out += [self._encode(text[at : m.start()]), self.codes[self.special[m[0]]]]
                 at = m.end()
-            return out + self._encode(text[at:])
+            return b"".join([*out, self._encode(text[at:])])
         return self._encode(text)
 
-    def _encode(self, text: str) -> list[int]:
+    def _encode(self, text: str) -> bytes:
         if not text:
-            return []
+            return b""
         units, kept = self.units(text), self.kept
+        try:  # after warm() all are there, but for long words
+            return b"".join(map(kept.__getitem__, units))
+        except KeyError:
+            pass
         missing = {u for u in set(units) if u not in kept}
         if missing:
             if len(kept) + len(missing) > self.cache_units:
-                kept.clear()
-                missing = set(units)
+                self.kept = kept = forget(kept)
+                missing = {u for u in set(units) if u not in kept}
             # long texts are done in parts, which bounds the trie
             ordered, extra = list(missing), {}
             for at in range(0, len(ordered), 20_000):
                 extra |= self.encode_units(set(ordered[at : at + 20_000]))
             kept.update((u, t) for u, t in extra.items() if len(u) <= 64 and len(kept) < self.cache_units)
-            return list(chain.from_iterable([extra[u] if u in extra else kept[u] for u in units]))
-        return list(chain.from_iterable(map(kept.__getitem__, units)))
+            return b"".join([extra[u] if u in extra else kept[u] for u in units])
+        return b"".join(map(kept.__getitem__, units))
 
     def warm(self, texts: list[str | None]) -> None:
         """Put the words of several texts into one trie before they are encoded one by one."""
         fresh: set[str] = set()
         for text in texts:
             if text and not (self.special_pattern and self.special_pattern.search(text)):
-                fresh.update(u for u in self.units(text) if u not in self.kept and len(u) <= 64)
+                fresh.update(self.units(text))
+        fresh = {u for u in fresh if u not in self.kept and len(u) <= 64}
         if len(self.kept) + len(fresh) > self.cache_units:
-            self.kept.clear()
+            self.kept = forget(self.kept)
         if len(fresh) <= self.cache_units // 2:
             self.kept.update(self.encode_units(fresh))
 
