@@ -47,8 +47,14 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to Python at once, where the session doesn't say: whole texts may be long.
+ARROW_ROWS = "1024"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where PYTHONPATH doesn't already do so."""
+    """Get Python workers ready: small batches, and this package where PYTHONPATH doesn't already have it."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     root = Path(__file__).resolve().parents[2]
     if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return

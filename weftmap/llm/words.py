@@ -8,12 +8,15 @@ their ids are kept, as little-endian unsigned 32-bit bytes.
 from __future__ import annotations
 
 import os
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 
 #: Distinct words whose ids a worker keeps; at some 210 bytes each.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_000_000
+#: Marks that are words of their own after letters.
+MARKS = frozenset(".,;:!?")
 #: Longer parts are encoded, but not kept.
 CACHE_LENGTH = 64
 
@@ -30,6 +33,15 @@ def load(path: str, special_as_text: bool = False):
     return tokenizer
 
 
+def forget(kept: dict[str, bytes], share: float = 0.4) -> dict[str, bytes]:
+    """What stays of a full cache: at most that share of it, the shortest words, which come back most often."""
+    most, length = share * len(kept), 0
+    sizes = Counter(map(len, kept))
+    while sizes and (most := most - sizes.pop(length, 0)) >= 0:
+        length += 1
+    return {k: v for k, v in kept.items() if len(k) < length}
+
+
 class WordEncoder:
     """Encodes texts by a tokenizer whose words end at white space."""
 
@@ -37,6 +49,16 @@ class WordEncoder:
         self.tokenizer = load(path, special_as_text)
         self.cache_words = cache_words
         self.kept: dict[str, bytes] = {}
+        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
+
+    def split_mark(self, part: str) -> tuple[str, ...]:
+        """Words that have the part's ids, one after the other."""
+        if part.isascii():
+            if part.isalpha():
+                return (part.lower() if self.lowers else part,)
+            if part[-1:] in MARKS and part[:-1].isalpha():
+                return (part[:-1].lower() if self.lowers else part[:-1], part[-1])
+        return (part,)
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit integers."""
@@ -46,13 +68,19 @@ class WordEncoder:
         extra: dict[str, bytes] = {}
         if missing:
             if len(kept) + len(missing) > self.cache_words:
-                kept.clear()
-                missing = list(set(parts))
-            for at in range(0, len(missing), 4096):
-                some = missing[at : at + 4096]
-                for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                    where = kept if len(part) <= CACHE_LENGTH and len(kept) < self.cache_words else extra
-                    where[part] = np.array(found.ids, "<u4").tobytes()
+                self.kept = kept = forget(kept)
+                missing = [p for p in set(parts) if p not in kept]
+            # a word in capitals, or with a mark after it, has the ids of the plain word and of the mark
+            plain = {p: self.split_mark(p) for p in missing}
+            fresh = list({w for ws in plain.values() for w in ws if w not in kept})
+            found: dict[str, bytes] = {}
+            for at in range(0, len(fresh), 4096):
+                some = fresh[at : at + 4096]
+                found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+            for part, words in plain.items():
+                found[part] = b"".join([found[w] if w in found else kept[w] for w in words])
+            for part, ids in found.items():
+                (kept if len(part) <= CACHE_LENGTH and len(kept) < self.cache_words else extra)[part] = ids
         if extra:
             return b"".join([extra[p] if p in extra else kept[p] for p in parts])
         return b"".join(map(kept.__getitem__, parts))
