@@ -25,7 +25,7 @@ from .words import word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 #: Documents of a batch that are worked on at once.
-ROWS = 256
+ROWS = 64
 
 
 def binary_lengths(n: int, longest: int = 2048) -> list[int]:
@@ -47,8 +47,8 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 out: list[list] = [[] for _ in range(6)]
-                for doc_id, text in zip(part.column(0), part.column(1)):
-                    ids = encoder.encode(text.as_py()) + end
+                for doc_id, ids in zip(part.column(0), encoder.encode_all(part.column(1).to_pylist())):
+                    ids += end
                     start, total = 0, len(ids) // 4
                     for n in binary_lengths(total, longest):
                         piece = ids[4 * start : 4 * (start + n)]

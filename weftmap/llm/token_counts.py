@@ -29,7 +29,7 @@ from .common import materialise, ship
 from .words import word_encoder
 
 BLOCK_IDS = 1 << 16
-ROWS = 256
+ROWS = 64
 
 
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -47,8 +47,8 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_ids: int =
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part, out = batch.slice(at, ROWS), []
-                for doc_id, text in zip(part.column(0), part.column(1)):
-                    rest += encoder.encode(text.as_py()) + end
+                for doc_id, ids in zip(part.column(0), encoder.encode_all(part.column(1).to_pylist())):
+                    rest += ids + end
                     out.append((file, None, None, ordinal, doc_id.as_py()))
                     ordinal += 1
                     done = len(rest) - len(rest) % size

@@ -14,9 +14,11 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct words whose ids a worker keeps; at some 210 bytes each.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 500_000
 #: Marks that are words of their own after letters.
 MARKS = frozenset(".,;:!?")
+#: Marks, one for each of so many hashes, of words met before; words met once, half of all, aren't kept.
+SEEN_SLOTS = 1 << 22
 #: Longer parts are encoded, but not kept.
 CACHE_LENGTH = 64
 
@@ -42,6 +44,17 @@ def forget(kept: dict[str, bytes], share: float = 0.4) -> dict[str, bytes]:
     return {k: v for k, v in kept.items() if len(k) < length}
 
 
+def last_tokens(tokenizer) -> np.ndarray | None:
+    """For each id whether it ends a word, for tokenizers that mark the ends of words."""
+    suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+    if not suffix:
+        return None
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        ends[i] = token.endswith(suffix)
+    return ends
+
+
 class WordEncoder:
     """Encodes texts by a tokenizer whose words end at white space."""
 
@@ -49,8 +62,18 @@ class WordEncoder:
         self.tokenizer = load(path, special_as_text)
         self.cache_words = cache_words
         self.kept: dict[str, bytes] = {}
+        self.seen = bytearray(SEEN_SLOTS)
+        self.ends = last_tokens(self.tokenizer)
         self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
 
+    def comes_back(self, part: str) -> bool:
+        """Whether a word is worth keeping: it isn't long, and was probably met before."""
+        if len(part) > CACHE_LENGTH:
+            return False
+        slot = hash(part) & SEEN_SLOTS - 1
+        before, self.seen[slot] = self.seen[slot], 1
+        return bool(before)
+
     def split_mark(self, part: str) -> tuple[str, ...]:
         """Words that have the part's ids, one after the other."""
         if part.isascii():
@@ -60,30 +83,45 @@ class WordEncoder:
                 return (part[:-1].lower() if self.lowers else part[:-1], part[-1])
         return (part,)
 
-    def encode(self, text: str | None) -> bytes:
-        """The ids of a whole text as little-endian unsigned 32-bit integers."""
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+    def encode_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct parts. Those of letters alone go through the tokenizer as one text, if
+        its words can be told apart again by their last tokens."""
+        found: dict[str, bytes] = {}
+        plain = [w for w in words if w.isalpha()] if self.ends is not None else []
+        if plain:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) == len(plain):  # else one of them is several words to the tokenizer
+                data, cuts = ids.tobytes(), cuts.tolist()
+                found = {w: data[a:b] for w, a, b in zip(plain, [0, *cuts], cuts)}
+        rest = [w for w in words if w not in found]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
+        return found
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of whole texts as little-endian unsigned 32-bit integers."""
+        parts = [(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         kept = self.kept
-        missing = [p for p in set(parts) if p not in kept]
-        extra: dict[str, bytes] = {}
-        if missing:
-            if len(kept) + len(missing) > self.cache_words:
-                self.kept = kept = forget(kept)
-                missing = [p for p in set(parts) if p not in kept]
-            # a word in capitals, or with a mark after it, has the ids of the plain word and of the mark
-            plain = {p: self.split_mark(p) for p in missing}
-            fresh = list({w for ws in plain.values() for w in ws if w not in kept})
-            found: dict[str, bytes] = {}
-            for at in range(0, len(fresh), 4096):
-                some = fresh[at : at + 4096]
-                found.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)))
-            for part, words in plain.items():
-                found[part] = b"".join([found[w] if w in found else kept[w] for w in words])
-            for part, ids in found.items():
-                (kept if len(part) <= CACHE_LENGTH and len(kept) < self.cache_words else extra)[part] = ids
-        if extra:
-            return b"".join([extra[p] if p in extra else kept[p] for p in parts])
-        return b"".join(map(kept.__getitem__, parts))
+        missing = set().union(*parts).difference(kept)
+        if not missing:
+            return [b"".join(map(kept.__getitem__, p)) for p in parts]
+        if len(kept) + len(missing) > self.cache_words:
+            self.kept = kept = forget(kept)
+            missing = set().union(*parts).difference(kept)
+        # a word in capitals, or with a mark after it, has the ids of the plain word and of the mark
+        plain = {p: self.split_mark(p) for p in missing}
+        found = self.encode_words(list({w for ws in plain.values() for w in ws}.difference(kept)))
+        for part, words in plain.items():
+            found[part] = found[words[0]] if words[0] in found else kept[words[0]]
+            if len(words) > 1:
+                found[part] += found[words[1]] if words[1] in found else kept[words[1]]
+        kept.update((p, ids) for p, ids in found.items() if self.comes_back(p))
+        return [b"".join([kept[p] if p in kept else found[p] for p in ps]) for ps in parts]
+
+    def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
 
 
 @lru_cache(4)
