@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..scratch import materialise, scratch  # noqa: F401  the operators take these from here
+from ..scratch import ship as ship_package
 
 #: Broadcasts are asked for only below this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -20,33 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set to a local one only where the cluster names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="weftmap-")
-        spark.sparkContext.setCheckpointDir(base)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def scratch(spark: SparkSession, what: str) -> str:
-    """A fresh path in the shared folder, deleted when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/weftmap-{what}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows that go to Python at once, where the session doesn't say: whole texts may be long.
 ARROW_ROWS = "1024"
 
@@ -55,24 +24,7 @@ def ship(spark: SparkSession) -> None:
     """Get Python workers ready: small batches, and this package where PYTHONPATH doesn't already have it."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-    root = Path(__file__).resolve().parents[2]
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    context = spark.sparkContext
-    if context.master.startswith("local[") or context.master == "local":
-        paths = context.environment.get("PYTHONPATH", "").split(os.pathsep)
-        if str(root) not in paths:
-            context.environment["PYTHONPATH"] = os.pathsep.join([str(root), *filter(None, paths)])
-        return
-    if getattr(context, "_weftmap_shipped", False):
-        return
-    # kept as long as the driver runs: executors may ask for it at any time
-    target = Path(tempfile.mkdtemp(prefix="weftmap-"), "weftmap_src.zip")
-    with zipfile.ZipFile(target, "w") as out:
-        for source in sorted((root / "weftmap").rglob("*.py")):
-            out.write(source, source.relative_to(root))
-    context.addPyFile(str(target))
-    context._weftmap_shipped = True
+    ship_package(spark)
 
 
 def with_locator(docs: DataFrame, prefix: str = "__wm_") -> DataFrame:
@@ -112,7 +64,3 @@ def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def let(value, body):
     """body(value) with value evaluated once a row, even where body uses it inside lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def long_schema(*fields: tuple[str, str]) -> T.StructType:
-    return T.StructType([T.StructField(n, T._parse_datatype_string(t)) for n, t in fields])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
-from .words import word_encoder
+from .words import CACHE_WORDS, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 #: Documents of a batch that are worked on at once.
@@ -36,13 +36,14 @@ def binary_lengths(n: int, longest: int = 2048) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, cache_words: int = CACHE_WORDS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit; null unless with_ids),
-    ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length)."""
+    ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length). A worker keeps up to
+    cache_words words, at some 210 bytes each."""
     ship(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = word_encoder(tokenizer, cache_words=cache_words), end_id.to_bytes(4, "little")
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)

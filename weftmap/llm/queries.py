@@ -37,7 +37,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.decompose(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False)
+    pieces = packing.decompose(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), with_ids=False, cache_words=1_200_000)
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 

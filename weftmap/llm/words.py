@@ -16,7 +16,7 @@ import numpy as np
 #: Distinct words whose ids a worker keeps; at some 210 bytes each.
 CACHE_WORDS = 500_000
 #: Marks that are words of their own after letters.
-MARKS = frozenset(".,;:!?")
+MARKS = ".,;:!?"
 #: Marks, one for each of so many hashes, of words met before; words met once, half of all, aren't kept.
 SEEN_SLOTS = 1 << 22
 #: Longer parts are encoded, but not kept.
@@ -64,24 +64,7 @@ class WordEncoder:
         self.kept: dict[str, bytes] = {}
         self.seen = bytearray(SEEN_SLOTS)
         self.ends = last_tokens(self.tokenizer)
-        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-
-    def comes_back(self, part: str) -> bool:
-        """Whether a word is worth keeping: it isn't long, and was probably met before."""
-        if len(part) > CACHE_LENGTH:
-            return False
-        slot = hash(part) & SEEN_SLOTS - 1
-        before, self.seen[slot] = self.seen[slot], 1
-        return bool(before)
-
-    def split_mark(self, part: str) -> tuple[str, ...]:
-        """Words that have the part's ids, one after the other."""
-        if part.isascii():
-            if part.isalpha():
-                return (part.lower() if self.lowers else part,)
-            if part[-1:] in MARKS and part[:-1].isalpha():
-                return (part[:-1].lower() if self.lowers else part[:-1], part[-1])
-        return (part,)
+        self.marks = self.encode_words(list(MARKS))
 
     def encode_words(self, words: list[str]) -> dict[str, bytes]:
         """Ids of distinct parts. Those of letters alone go through the tokenizer as one text, if
@@ -105,26 +88,31 @@ class WordEncoder:
         parts = [(text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
         kept = self.kept
         missing = set().union(*parts).difference(kept)
-        if not missing:
-            return [b"".join(map(kept.__getitem__, p)) for p in parts]
         if len(kept) + len(missing) > self.cache_words:
             self.kept = kept = forget(kept)
             missing = set().union(*parts).difference(kept)
-        # a word in capitals, or with a mark after it, has the ids of the plain word and of the mark
-        plain = {p: self.split_mark(p) for p in missing}
-        found = self.encode_words(list({w for ws in plain.values() for w in ws}.difference(kept)))
-        for part, words in plain.items():
-            found[part] = found[words[0]] if words[0] in found else kept[words[0]]
-            if len(words) > 1:
-                found[part] += found[words[1]] if words[1] in found else kept[words[1]]
-        kept.update((p, ids) for p, ids in found.items() if self.comes_back(p))
-        return [b"".join([kept[p] if p in kept else found[p] for p in ps]) for ps in parts]
+        if not missing:
+            return [b"".join(map(kept.__getitem__, p)) for p in parts]
+        # letters with a mark after them have the ids of the letters, then those of the mark
+        marked = [p for p in missing if p[-1:] in self.marks and p[:-1].isalpha()]
+        plain = missing.difference(marked).union([p[:-1] for p in marked]).difference(kept)
+        found = self.encode_words(list(plain))
+        for p in marked:
+            letters = p[:-1]
+            found[p] = (found[letters] if letters in found else kept[letters]) + self.marks[p[-1]]
+        out = [b"".join([kept[p] if p in kept else found[p] for p in ps]) for ps in parts]
+        # words are kept from when they come again; half of all never do
+        slots, seen = [hash(p) & SEEN_SLOTS - 1 for p in found], self.seen
+        kept.update([item for item, slot in zip(found.items(), slots) if seen[slot] and len(item[0]) <= CACHE_LENGTH])
+        for slot in slots:
+            seen[slot] = 1
+        return out
 
     def encode(self, text: str | None) -> bytes:
         return self.encode_all([text])[0]
 
 
 @lru_cache(4)
-def word_encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+def word_encoder(path: str, special_as_text: bool = False, cache_words: int = CACHE_WORDS) -> WordEncoder:
     """One for each worker process, kept between tasks."""
-    return WordEncoder(path, special_as_text)
+    return WordEncoder(path, special_as_text, cache_words)
