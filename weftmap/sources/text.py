@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import first_fields
 from ..model import COORDINATES, Genome
 from ..operators.domains import select_chroms
+from ..scratch import ship
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -117,17 +121,16 @@ def write_tsv(rows: DataFrame, path: str, header: bool = False, mode: str = "err
 
 def tsv_lines(rows: DataFrame) -> DataFrame:
     """A column "line" with tab-separated values, doubles to six significant digits."""
+    ship(rows.sparkSession)
     text = [F.format_string("%s", F.col(c)) if kind != "double" else short_double(F.col(c)) for c, kind in rows.dtypes]
     return rows.select(F.concat_ws("\t", *text).alias("line"))
 
 
+def _short(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        yield pa.array([None if x is None else "%g" % x for x in batch.to_pylist()], pa.string())
+
+
 def short_double(x: Column) -> Column:
-    """At most six significant digits without trailing zeros, with an exponent if it is below -4 or above 5."""
-    mantissa = F.regexp_extract(F.format_string("%.5e", x), r"^(-?\d\.\d+)e([+-]\d+)$", 1)
-    exponent = F.regexp_extract(F.format_string("%.5e", x), r"^(-?\d\.\d+)e([+-]\d+)$", 2)
-    trimmed = lambda s: F.regexp_replace(F.regexp_replace(s, r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    power = F.when(exponent != "", exponent.cast("int"))
-    fixed = F.coalesce(*[F.when(power == k, F.format_string(f"%.{5 - k}f", x)) for k in range(-4, 6)])
-    plain = F.when(power.between(-4, 5), F.when(F.contains(fixed, F.lit(".")), trimmed(fixed)).otherwise(fixed)).otherwise(F.concat(trimmed(mantissa), F.lit("e"), exponent))
-    special = F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf")
-    return F.coalesce(special, plain)
+    """At most six significant digits without trailing zeros, as C's %g; Java's own differs."""
+    return F.arrow_udf(_short, T.StringType())(x)
