@@ -74,7 +74,10 @@ class Model:
     def __init__(self, counts: Counts, max_contexts: int):
         self.languages = counts.languages
         k = len(self.languages)
-        used = np.unique(counts.gram & 255)
+        if not k:
+            return
+        # the padding stands in contexts alone
+        used = np.unique(np.append(counts.gram & 255, np.frombuffer(PAD, np.uint8)))
         self.symbol = np.full(256, len(used), np.int64)  # the last one: bytes never met
         self.symbol[used] = np.arange(len(used))
         self.width = a = len(used) + 1
