@@ -27,7 +27,7 @@ def test_stages_against_brute_force(spark):
         best[norm] = min(best.get(norm, (0, 1 << 60)), (-len(t), k))
     ids = {k for _, k in best.values()}
     kept = [(k, t) for k, t in kept if k in ids]
-    fps = {k: plain_fingerprint(t, 5) for k, t in kept}
+    fps = {k: tuple(plain_fingerprint(t, 5, n) for n in range(8)) for k, t in kept}
     root = plain_components(set(fps.values()))
     first = {}
     for k in sorted(fps):

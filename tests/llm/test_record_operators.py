@@ -165,14 +165,18 @@ def test_cascade_is_exact(spark):
 # 8
 
 
-def plain_fingerprint(text, size):
+def plain_fingerprint(text, size, table=0):
     words = [w for w in re.split(rb"[\x20\x09-\x0D]+", simhash.lower_ascii(text or "")) if w]
     shingles = [b" ".join(words[k : k + size]) for k in range(len(words) - size + 1)] or ([b" ".join(words)] if words else [])
     h = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    if table:
+        h = [((x ^ x >> 33) * 0x9E3779B97F4A7C15 * (2 * table + 1)) % 2**64 for x in h]
+        h = [x ^ x >> 29 for x in h]
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
 def plain_components(fps):
+    """Components of fingerprints, or of rows of one fingerprint a table."""
     root = {f: f for f in fps}
 
     def find(x):
@@ -182,7 +186,7 @@ def plain_components(fps):
         return x
 
     for a, b in itertools.combinations(sorted(root), 2):
-        if (a ^ b).bit_count() <= 2:
+        if any((x ^ y).bit_count() <= 2 for x, y in (zip(a, b) if isinstance(a, tuple) else [(a, b)])):
             root[find(a)] = find(b)
     return {f: find(f) for f in root}
 
@@ -202,6 +206,24 @@ def test_near_duplicates(docs, none, texts, limit):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_by_tables(spark):
+    r = random.Random(13)
+    rows = []
+    for _ in range(25):
+        words = [f"w{r.randrange(500)}" for _ in range(300)]
+        for _ in range(r.choice((1, 4))):
+            words[r.randrange(300)] = "changed"
+            rows.append((len(rows), " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    fps = {k: tuple(plain_fingerprint(t, 5, n) for n in range(8)) for k, t in rows}
+    root = plain_components(set(fps.values()))
+    want = {k: min(j for j in fps if root[fps[j]] == root[fps[k]]) for k in fps}
+    for limit in (64, 2):
+        assert {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df, size=5, tables=8, pair_limit=limit).collect()} == want
+    one = {x["doc_id"]: x["component_id"] for x in simhash.near_duplicates(df, size=5).collect()}
+    assert len(set(want.values())) < len(set(one.values()))
+
+
 @pytest.mark.parametrize("limit", [64, 3])
 def test_links_miss_nothing(spark, limit):
     r = random.Random(12)
@@ -213,7 +235,7 @@ def test_links_miss_nothing(spark, limit):
             for b in r.sample(range(64), r.randint(1, 3)):
                 x ^= 1 << b
     signed = [f - 2**64 if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(f,) for f in signed], "fp long")
+    nodes = spark.createDataFrame([(f, 0, f) for f in signed], "node long, tab int, value long")
     got = {x["node"] % 2**64: x["root"] % 2**64 for x in simhash.components(simhash.links(nodes, limit)).collect()}
     root = plain_components(fps)
     groups = {}

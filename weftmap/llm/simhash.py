@@ -15,6 +15,9 @@ are linked through words one bit away instead (two fingerprints are within 2 bit
 if some word is within one bit of both), which finds the same links' components with 65
 rows a fingerprint. No bucket is cut.
 
+One fingerprint finds copies that differ in little. With several tables, each of them the
+same hashes mixed anew, a pair has as many chances; the links of all tables count.
+
 Components: large-star and small-star steps on links between distinct fingerprints, each
 step written to the shared checkpoint folder.
 
@@ -31,7 +34,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +78,27 @@ def majority(hashes: np.ndarray, chunk: int = 1 << 16) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text", name: str = "fp") -> DataFrame:
-    """docs with one more column, the fingerprint as a signed long."""
+def remix(hashes: np.ndarray, table: int) -> np.ndarray:
+    """The hashes for one more table: table 0 has them as they are, others mixed by an odd number of their own."""
+    if not table:
+        return hashes
+    odd = np.uint64((0x9E3779B97F4A7C15 * (2 * table + 1)) % 2**64)
+    mixed = (hashes ^ hashes >> np.uint64(33)) * odd
+    return mixed ^ mixed >> np.uint64(29)
+
+
+def fingerprints(docs: DataFrame, size: int = 3, text_col: str = "text", name: str = "fps", tables: int = 1) -> DataFrame:
+    """docs with one more column, an array with a fingerprint, as a signed long, for each table."""
     ship(docs.sparkSession)
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            values = (majority(shingle_hashes(x.as_py(), size)) for x in batch)
-            yield pa.array(np.fromiter(values, np.uint64, len(batch)).view(np.int64))
+            values = np.empty((len(batch), tables), np.uint64)
+            for row, text in enumerate(batch):
+                hashes = shingle_hashes(text.as_py(), size)
+                values[row] = [majority(remix(hashes, k)) for k in range(tables)]
+            yield pa.array(list(values.view(np.int64)), pa.list_(pa.int64()))
 
     return docs.withColumn(name, of(F.col(text_col)))
 
@@ -141,39 +155,43 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def key_table(nodes: DataFrame) -> DataFrame:
-    """(fp, key) of distinct fingerprints."""
+def key_table(values: DataFrame) -> DataFrame:
+    """(node, value, key) of the fuzzy keys of (node, tab, value); keys of different tables differ."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(fps), 1 << 14):
-                part = fps[at : at + (1 << 14)]
-                row, key = fuzzy_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(part[row]), pa.array(key)], ["fp", "key"])
+            for at in range(0, batch.num_rows, 1 << 13):
+                node, tab, value = (c.to_numpy(zero_copy_only=False) for c in batch.slice(at, 1 << 13).columns)
+                row, key = fuzzy_keys(value)
+                yield pa.RecordBatch.from_arrays([pa.array(node[row]), pa.array(value[row]), pa.array(tab[row].astype(np.int64) << 48 | key)], ["node", "value", "key"])
 
-    return nodes.select("fp").mapInArrow(of, "fp long, key long")
+    return values.select("node", "tab", "value").mapInArrow(of, "node long, value long, key long")
 
 
-def midpoints(fps: DataFrame) -> DataFrame:
-    """(fp, mid): each fingerprint and the 64 words one bit away."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    return fps.select("fp", F.explode(F.concat(F.array("fp"), flips)).alias("mid"))
+def midpoints(values: DataFrame) -> DataFrame:
+    """values and mid: each one, and the 64 words one bit away."""
+    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("value").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
+    return values.select("node", "tab", F.explode(F.concat(F.array("value"), flips)).alias("mid"))
 
 
-def links(nodes: DataFrame, pair_limit: int = 64) -> DataFrame:
-    """(a, b) with a < b: links that connect the same fingerprints as all pairs within 2 bits."""
-    keys = materialise(key_table(nodes), "simhash-keys")
+def links(values: DataFrame, pair_limit: int = 64) -> DataFrame:
+    """(a, b) with a < b: links of nodes, from (node, tab, value), that connect the same nodes as
+    all pairs of values of one table within 2 bits.
+
+    Keys are made twice, once to count buckets and once to fill those of more than one
+    member: most have one, and making keys costs less than storing them.
+    """
+    keys = key_table(values)
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(keys.join(sizes, "key"), "simhash-buckets")
-    small = shared.where(F.col("n") <= pair_limit).select("key", "fp")
-    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")))
-    near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= MAX_BITS
-    by_pairs = pairs.where(near).select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    crowded = shared.where(F.col("n") > pair_limit).select("fp").distinct()
+    small = shared.where(F.col("n") <= pair_limit).select("key", "node", "value")
+    pairs = small.alias("x").join(small.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")))
+    near = F.bit_count(F.col("x.value").bitwiseXOR(F.col("y.value"))) <= MAX_BITS
+    by_pairs = pairs.where(near).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    crowded = shared.where(F.col("n") > pair_limit).select("node", F.shiftright("key", 48).cast("int").alias("tab"), "value").distinct()
     mids = midpoints(crowded)
-    centre = mids.groupBy("mid").agg(F.min("fp").alias("a"), F.max("fp").alias("last")).where("a < last").select("mid", "a")
-    by_mids = mids.join(centre, "mid").where("fp > a").select("a", F.col("fp").alias("b"))
+    centre = mids.groupBy("tab", "mid").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a < last").select("tab", "mid", "a")
+    by_mids = mids.join(centre, ["tab", "mid"]).where("node > a").select("a", F.col("node").alias("b"))
     return by_pairs.union(by_mids).distinct()
 
 
@@ -201,12 +219,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pair_limit: int = 64) -> DataFrame:
-    """One row per row of docs: doc_id, fp long, component_id, and the columns named in keep."""
-    hashed = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__wm_text"), *keep), size, "__wm_text").drop("__wm_text")
-    rows = materialise(hashed, "simhash")
+def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pair_limit: int = 64, tables: int = 1) -> DataFrame:
+    """One row per row of docs: doc_id, fp long, component_id, and the columns named in keep.
+
+    With more than one table, documents link if their fingerprints are within 2 bits in
+    any of them; fp is that of the first, so documents that share it are one node.
+    """
+    hashed = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__wm_text"), *keep), size, "__wm_text", "fps", tables).drop("__wm_text")
+    rows = materialise(hashed.withColumn("fp", F.get("fps", F.lit(0))), "simhash")
     nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
-    found = materialise(components(links(nodes, pair_limit)), "simhash-components")
+    if tables == 1:
+        values = nodes.select(F.col("fp").alias("node"), F.lit(0).alias("tab"), F.col("fp").alias("value"))
+    else:
+        values = materialise(rows.select("fp", "fps").distinct().select(F.col("fp").alias("node"), F.posexplode("fps").alias("tab", "value")).distinct(), "simhash-values")
+    found = materialise(components(links(values, pair_limit)), "simhash-components")
     linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.join(smallest, "root").select("fp", "component_id")
