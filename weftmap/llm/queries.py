@@ -95,9 +95,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_license_scan, op2_packing, op3_language_id, op4_token_counts, op5_exact_dedup, op6_media, op7_url_filter, op8_simhash, op9_bpe, op10_chat)
 }
 
+
+
+def _license_sql(stride: int = 32, threshold: float = 0.8) -> str:
+    """The scan by comparing every block with every template."""
+    rows = []
+    for names, whole in ((license_scan.PHRASES, True), (license_scan.NOTICES, False)):
+        for t in license_scan.order_templates(names, {}, threshold, whole):
+            words = ", ".join(f"'{w}'" for w in t.words)
+            rows.append(f"('{t.label}', {str(whole).lower()}, [{words}], {t.need})")
+    starts = []
+    for phrase in license_scan.PHRASES:
+        same = " and ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split()))
+        starts.append(f"list_filter(range(len(w)), lambda i: {same})")
+    base = " || ".join(f"case when len(p{k}) > 0 then ['{label}'] else [] end" for k, label in enumerate(license_scan.PHRASES.values()))
+    places = ", ".join(f"p{k}" for k in range(len(starts)))
+    return rf"""
+        with t(label, is_phrase, words, need) as (values {", ".join(rows)}),
+        d as (
+            select doc_id, row_number() over () as rid,
+                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from documents),
+        b as (select rid, w, unnest(range((len(w) + {stride - 1}) // {stride})) as k from d),
+        c as (select rid, list_distinct(w[k * {stride} + 1 : k * {stride} + {2 * stride}]) as s from b),
+        m as (select rid, label, is_phrase, len(list_intersect(s, words)) / len(words) as containment from c join t on len(list_intersect(s, words)) >= need),
+        g as (select rid, coalesce(list(distinct label) filter (where not is_phrase), []) as own, max(containment) as score from m group by rid),
+        f as (select doc_id, rid, len(w) as n_words, {", ".join(f"{x} as p{k}" for k, x in enumerate(starts))} from d),
+        h as (select doc_id, rid, n_words, flatten([{places}]) as starts, {base} as base from f)
+        select doc_id, n_words, cast(len(starts) as bigint) as n_base, list_min(starts) as first_word, list_max(starts) as last_word,
+               coalesce(array_to_string(list_sort(list_distinct(base)), ','), '') as base_labels,
+               coalesce(array_to_string(list_sort(list_distinct(base || coalesce(own, []))), ','), '') as labels,
+               coalesce(score, 0.0) as score
+        from h left join g on h.rid = g.rid
+    """
+
+
 _LABEL_LIST = ", ".join(f"'{w}'" for w in BLOCK_LABELS)
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _license_sql(),
     "op5_exact_dedup": r"""
         with d as (
             select doc_id, coalesce(text, '') as t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') as norm from documents),
