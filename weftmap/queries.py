@@ -25,7 +25,7 @@ from .plans.compute import compute, compute_domains
 from .plans.filter import filter_results
 from .plans.merge import merge_results
 from .plans.view import view
-from .scratch import scratch
+from .scratch import materialise, scratch
 from .sources.pixels import read_pixels, write_pixels
 from .sources.results import load_expected, read_results, save_expected, write_results
 from .sources.text import mask_bins
@@ -75,6 +75,11 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered.groupBy("chrom1", "chrom2", "b1", "b2").agg(F.count(F.lit(1)).alias("n"))
 
 
+def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels written as a table, as plans that scan them more than once find them."""
+    return materialise(contacts(spark, sf_dir), "pixels")
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping intervals from nation: chrom, start, end."""
     rows = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 3).cast("int").alias("c"), (F.expr("n_nationkey div 3") * 50_000).alias("start"))
@@ -276,7 +281,7 @@ def band_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select chrom1, chrom2, b1, b2, n from use_m")
 def mask_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contacts(spark, sf_dir)
+    found = pixel_table(spark, sf_dir)
     mask = masking.bin_mask(found, GENOME, 2.0, user_bins(spark, sf_dir))
     return pixels.usable(found, GENOME, 10_000, 2**63 - 1, mask)
 
@@ -323,7 +328,7 @@ def nnz_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _usable_cis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pixels.usable(pixels.scan_kind(contacts(spark, sf_dir), "cis"), GENOME, 10_000, 2**63 - 1)
+    return pixels.usable(pixels.scan_kind(pixel_table(spark, sf_dir), "cis"), GENOME, 10_000, 2**63 - 1)
 
 
 @query("select d, obs from obsd")
@@ -343,12 +348,12 @@ def density_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select chrom, round(sf, 6) + 0.0 as sf from sf")
 def scaling_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.expected_values(contacts(spark, sf_dir), GENOME, RAW, kind="cis").scaling.select("chrom", r("sf"))
+    return ev.expected_values(pixel_table(spark, sf_dir), GENOME, RAW, kind="cis").scaling.select("chrom", r("sf"))
 
 
 @query("select chrom1, chrom2, round(avg, 6) + 0.0 as avg from tavg_m")
 def trans_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.expected_values(contacts(spark, sf_dir), GENOME, MASKED, user_bins(spark, sf_dir), "trans").trans.select("chrom1", "chrom2", r("avg"))
+    return ev.expected_values(pixel_table(spark, sf_dir), GENOME, MASKED, user_bins(spark, sf_dir), "trans").trans.select("chrom1", "chrom2", r("avg"))
 
 
 @query("select chrom1, chrom2, round(sum(n) / (any_value(x.fb) * any_value(y.fb)), 6) + 0.0 as density from px join chroms x on x.chrom = chrom1 join chroms y on y.chrom = chrom2 where chrom1 <> chrom2 group by all")
@@ -360,16 +365,16 @@ def trans_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 def low_cov_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each step of the repair needs the one before: tested against a plain restatement."""
     params = Params(mad_max=0.0, min_delta=10_000, observed_cutoff=5_000.0, interpolate=False)
-    return ev.expected_values(contacts(spark, sf_dir), GENOME, params, kind="cis").weights.select("d", r("w"))
+    return ev.expected_values(pixel_table(spark, sf_dir), GENOME, params, kind="cis").weights.select("d", r("w"))
 
 
 @query()
 def outlier_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.expected_values(contacts(spark, sf_dir), GENOME, REPAIRED, kind="cis").weights.select("d", r("w"))
+    return ev.expected_values(pixel_table(spark, sf_dir), GENOME, REPAIRED, kind="cis").weights.select("d", r("w"))
 
 
 def _with_ex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contacts(spark, sf_dir)
+    found = pixel_table(spark, sf_dir)
     return ev.with_expected(pixels.usable(found, GENOME, 10_000, 2**63 - 1), ev.expected_values(found, GENOME, RAW), GENOME)
 
 
@@ -395,41 +400,41 @@ def expected_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select {_COORDS}, round(expected_count, 6) + 0.0 as expected_count, round(log_ratio, 6) + 0.0 as log_ratio, round(odds_ratio, 6) + 0.0 as odds_ratio, round(omega, 6) + 0.0 as omega from res")
 def odds_omega_logratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compute(contacts(spark, sf_dir), GENOME, RAW)).drop("log_pvalue")
+    return rounded(compute(pixel_table(spark, sf_dir), GENOME, RAW)).drop("log_pvalue")
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res where chrom1 = chrom2")
 def compute_cis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compute(contacts(spark, sf_dir), GENOME, RAW, kind="cis"))
+    return rounded(compute(pixel_table(spark, sf_dir), GENOME, RAW, kind="cis"))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res where chrom1 <> chrom2")
 def compute_trans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compute(contacts(spark, sf_dir), GENOME, RAW, kind="trans"))
+    return rounded(compute(pixel_table(spark, sf_dir), GENOME, RAW, kind="trans"))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res_m")
 def compute_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(compute(contacts(spark, sf_dir), GENOME, MASKED, user_mask=user_bins(spark, sf_dir)))
+    return rounded(compute(pixel_table(spark, sf_dir), GENOME, MASKED, user_mask=user_bins(spark, sf_dir)))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res where chrom1 = chrom2")
 def pvalue_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p-values by Spark expressions alone."""
-    return rounded(compute(contacts(spark, sf_dir), GENOME, RAW, kind="cis", kernel=fnch_tail_sql))
+    return rounded(compute(pixel_table(spark, sf_dir), GENOME, RAW, kind="cis", kernel=fnch_tail_sql))
 
 
 @query()
 def compute_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the mask, pooling and smoothing of the command's defaults."""
-    return rounded(compute(contacts(spark, sf_dir), GENOME, REPAIRED))
+    return rounded(compute(pixel_table(spark, sf_dir), GENOME, REPAIRED))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res")
 def compute_stored_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With expected values that were written and read again."""
     path = scratch(spark, "expected")
-    found = contacts(spark, sf_dir)
+    found = pixel_table(spark, sf_dir)
     save_expected(ev.expected_values(found, GENOME, RAW), path, GENOME)
     return rounded(compute(found, GENOME, expected=load_expected(spark, path, GENOME)))
 
@@ -504,7 +509,7 @@ def _sides(s: str, mask: str) -> str:
 
 @query(f", {_sides('_m', 'bothm')} select {_RECT}, n1, n2, round(l1, 4) + 0.0 as l1, round(l2, 4) + 0.0 as l2, round(bad1, 6) + 0.0 as bad1, round(bad2, 6) + 0.0 as bad2 from side1 join side2 using ({_RECT})")
 def domain_marginals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contacts(spark, sf_dir)
+    found = pixel_table(spark, sf_dir)
     expected = ev.expected_values(found, GENOME, MASKED, user_bins(spark, sf_dir))
     valued = ev.with_expected(pixels.usable(found, GENOME, 10_000, 2**63 - 1, expected.mask), expected, GENOME)
     valued = valued.withColumn("lx", F.when(pixels.is_cis(), F.col("ex")).otherwise(F.col("n").cast("double")))
@@ -531,13 +536,13 @@ def _rounded_domains(rows: DataFrame) -> DataFrame:
 @query(_domain_test("", "(select * from bothm where false)", 1.0))
 def compute_domains_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     rectangles = dom.domain_product(intervals(spark, sf_dir), GENOME)
-    return _rounded_domains(compute_domains(contacts(spark, sf_dir), rectangles, GENOME, RAW, bad_bin_fraction=1.0))
+    return _rounded_domains(compute_domains(pixel_table(spark, sf_dir), rectangles, GENOME, RAW, bad_bin_fraction=1.0))
 
 
 @query(_domain_test("_m", "bothm", 0.1))
 def compute_domains_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rectangles = dom.domain_product(intervals(spark, sf_dir), GENOME)
-    return _rounded_domains(compute_domains(contacts(spark, sf_dir), rectangles, GENOME, MASKED, user_mask=user_bins(spark, sf_dir)))
+    return _rounded_domains(compute_domains(pixel_table(spark, sf_dir), rectangles, GENOME, MASKED, user_mask=user_bins(spark, sf_dir)))
 
 
 # corrections, filters, merges, views
@@ -610,17 +615,17 @@ _FILTERED = f"""
 
 @query(f"{_FILTERED} where pvalue_corrected <= 0.01 and log_ratio >= 2")
 def filter_significant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(filter_results(compute(contacts(spark, sf_dir), GENOME, RAW, kind="cis")))
+    return rounded(filter_results(compute(pixel_table(spark, sf_dir), GENOME, RAW, kind="cis")))
 
 
 @query(_FILTERED)
 def filter_keep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(filter_results(compute(contacts(spark, sf_dir), GENOME, RAW, kind="cis"), keep_all=True))
+    return rounded(filter_results(compute(pixel_table(spark, sf_dir), GENOME, RAW, kind="cis"), keep_all=True))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res")
 def merge_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contacts(spark, sf_dir)
+    found = pixel_table(spark, sf_dir)
     return rounded(merge_results([compute(found, GENOME, RAW, kind=k) for k in ("trans", "cis")], GENOME))
 
 
@@ -628,20 +633,20 @@ def merge_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results written by pair and read again."""
     path = scratch(spark, "results")
-    write_results(compute(contacts(spark, sf_dir), GENOME, RAW), path, GENOME)
+    write_results(compute(pixel_table(spark, sf_dir), GENOME, RAW), path, GENOME)
     return rounded(read_results(spark, path))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res where chrom1 = 'chr_a' and start1 >= 100000 and start1 < 300000 and chrom2 = 'chr_b' and start2 >= 50000 and start2 < 250000")
 def view_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(view(compute(contacts(spark, sf_dir), GENOME, RAW), "chr_a:100,000-300,000", "chr_b:50,000-250,000"))
+    return rounded(view(compute(pixel_table(spark, sf_dir), GENOME, RAW), "chr_a:100,000-300,000", "chr_b:50,000-250,000"))
 
 
 @query(f"select {_COORDS}, {_ROUNDED} from res where pvalue <= 0.05 and not (isfinite(log_ratio) and log_ratio < 0.5)")
 def view_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(view(compute(contacts(spark, sf_dir), GENOME, RAW), pvalue=0.05, log_ratio=0.5))
+    return rounded(view(compute(pixel_table(spark, sf_dir), GENOME, RAW), pvalue=0.05, log_ratio=0.5))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cis contacts with corrected p-values, significant or not."""
-    return filter_results(compute(contacts(spark, sf_dir), GENOME, REPAIRED, kind="cis"), keep_all=True)
+    return filter_results(compute(pixel_table(spark, sf_dir), GENOME, REPAIRED, kind="cis"), keep_all=True)
