@@ -38,7 +38,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 START = 1 << 19
 #: Marks that are words of their own after letters.
 _MARKS = frozenset(".,;:!?")
-CACHE_UNITS = 700_000
+CACHE_UNITS = 900_000
 ROWS = 256
 
 
@@ -208,14 +208,16 @@ class TrieBpe:
         first, *rest = text.split(" ")
         return [first, *[" " + r for r in rest]]
 
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of a whole text."""
-        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
+    def encode(self, text: str | None, units: list[str] | None = None) -> list[int]:
+        """The ids of a whole text; units: as warm() has split it."""
+        return np.frombuffer(self.encode_bytes(text, units), "<u4").tolist()
 
-    def encode_bytes(self, text: str | None) -> bytes:
+    def encode_bytes(self, text: str | None, units: list[str] | None = None) -> bytes:
         """The same as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
+        if units is not None:
+            return self._encode_units(units)
         if self.special_pattern and self.special_pattern.search(text):
             out, at = [], 0
             for m in self.special_pattern.finditer(text):
@@ -225,9 +227,10 @@ class TrieBpe:
         return self._encode(text)
 
     def _encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        units, kept = self.units(text), self.kept
+        return self._encode_units(self.units(text)) if text else b""
+
+    def _encode_units(self, units: list[str]) -> bytes:
+        kept = self.kept
         try:  # after warm() all are there, but for long words
             return b"".join(map(kept.__getitem__, units))
         except KeyError:
@@ -245,17 +248,17 @@ class TrieBpe:
             return b"".join([extra[u] if u in extra else kept[u] for u in units])
         return b"".join(map(kept.__getitem__, units))
 
-    def warm(self, texts: list[str | None]) -> None:
-        """Put the words of several texts into one trie before they are encoded one by one."""
-        fresh: set[str] = set()
-        for text in texts:
-            if text and not (self.special_pattern and self.special_pattern.search(text)):
-                fresh.update(self.units(text))
-        fresh = {u for u in fresh if u not in self.kept and len(u) <= 64}
+    def warm(self, texts: list[str | None]) -> list[list[str] | None]:
+        """Put the words of several texts into one trie before they are encoded one by one; the
+        texts' units, None where special tokens or nothing is in them."""
+        plain = lambda text: text and not (self.special_pattern and self.special_pattern.search(text))
+        split = [self.units(text) if plain(text) else None for text in texts]
+        fresh = {u for u in set().union(*filter(None, split)).difference(self.kept) if len(u) <= 64}
         if len(self.kept) + len(fresh) > self.cache_units:
             self.kept = forget(self.kept)
         if len(fresh) <= self.cache_units // 2:
             self.kept.update(self.encode_units(fresh))
+        return split
 
     def decode(self, ids: list[int]) -> bytes:
         """The UTF-8 bytes of ids; where tokens cut a character in two, replacement characters, as the library has it."""
@@ -314,5 +317,4 @@ def _encoded(batches: Iterator[pa.RecordBatch], bpe: TrieBpe) -> Iterator[tuple[
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
             texts = part.column(1).to_pylist()
-            bpe.warm(texts)
-            yield part, [bpe.encode(t) for t in texts]
+            yield part, [bpe.encode(t, u) for t, u in zip(texts, bpe.warm(texts))]
