@@ -60,6 +60,13 @@ def test_stages_take_odd_rows(spark, docs, none, tmp_path):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_dedup_stages_take_rows_of_no_file(spark):
+    text = "one two three four five six seven"
+    rows = spark.createDataFrame([(1, text), (2, text + " "), (3, "other"), (3, "other")], "doc_id long, text string")
+    assert sorted(r[0] for r in corpus_pipeline.exact(spark, rows, SF).collect()) == [2, 3]
+    assert sorted(r[0] for r in corpus_pipeline.near(spark, rows, SF).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries(spark, name):
     df = queries.QUERIES[name](spark, SF)

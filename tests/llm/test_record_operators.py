@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from weftmap.llm import chat, exact_dedup, media, simhash, url_filter
-from weftmap.llm.common import drop_rows, with_locator
+from weftmap.llm.common import drop_rows, file_backed, with_locator
 
 # 5
 
@@ -57,7 +57,7 @@ def test_stream_goes_on(spark, tmp_path):
 def test_drop_rows(spark, docs):
     located = with_locator(docs)
     assert located.select("__wm_file", "__wm_row").distinct().count() == docs.count()
-    written = drop_rows(docs, docs.limit(0).selectExpr("1L as __wm_file", "1L as __wm_row"))
+    written = drop_rows(file_backed(docs), docs.limit(0).selectExpr("1L as __wm_file", "1L as __wm_row"))
     assert written.columns == docs.columns and written.count() == docs.count()
 
 

@@ -27,19 +27,27 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
-def with_locator(docs: DataFrame, prefix: str = "__wm_") -> DataFrame:
-    """Add a locator of each row, (hash of its file's path, row in that file).
+def file_backed(docs: DataFrame) -> DataFrame:
+    """docs, if its rows come from files and so have a place; else docs written out and read again.
 
-    It names a physical row, also among repeated rows, and is the same whenever
-    the row is read again. Data that isn't in Parquet files is written out first.
+    Steps that locate rows of one DataFrame more than once begin with this.
     """
-    file, row = f"{prefix}file", f"{prefix}row"
     try:
-        return docs.select("*", F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
     except Exception as error:  # noqa: BLE001  Spark raises several kinds of analysis errors here
         if "_metadata" not in str(error):
             raise
-    return with_locator(materialise(docs, "rows"), prefix)
+    return materialise(docs, "rows")
+
+
+def with_locator(docs: DataFrame, prefix: str = "__wm_") -> DataFrame:
+    """Add a locator of each row, (hash of its file's path, row in that file).
+
+    It names a physical row, also among repeated rows, and is the same whenever
+    the row is read again. Data that isn't in Parquet files is written out first.
+    """
+    return file_backed(docs).select("*", F.xxhash64("_metadata.file_path").alias(f"{prefix}file"), F.col("_metadata.row_index").alias(f"{prefix}row"))
 
 
 def small_enough(df: DataFrame, bytes_per_row: int) -> bool:
@@ -49,7 +57,7 @@ def small_enough(df: DataFrame, bytes_per_row: int) -> bool:
 
 
 def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose locators are in dropped (columns __wm_file, __wm_row).
+    """docs, backed by files, without the rows whose locators are in dropped (columns __wm_file, __wm_row).
 
     A checked small set is broadcast, so that texts don't move; a larger one shuffles.
     """
