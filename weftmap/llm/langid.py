@@ -27,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -227,8 +227,12 @@ def _model(counts: Counts, max_contexts: int) -> Model:
 
 def predictor(docs: DataFrame, sample_docs: int = 4000, max_contexts: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """A function of a text column giving struct<lang_pred, score>, learnt from docs."""
-    counts = learn(docs, sample_docs, id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # bounded by the sample
+    return predictor_of(docs.sparkSession, learn(docs, sample_docs, id_col, text_col, lang_col), max_contexts)
+
+
+def predictor_of(spark: SparkSession, counts: Counts, max_contexts: int = 40_000):
+    """The function that predictor gives, of statistics already learnt."""
+    shared = spark.sparkContext.broadcast(counts)  # bounded by the sample
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -244,6 +248,17 @@ def predictor(docs: DataFrame, sample_docs: int = 4000, max_contexts: int = 40_0
     return predict
 
 
+def lettered(text: Column) -> Column:
+    """Whether a text has a letter; null has none."""
+
+    @F.arrow_udf("boolean")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([has_letter(text.as_py()) for text in batch], pa.bool_())
+
+    return of(text)
+
+
 def identify(docs: DataFrame, sample_docs: int = 4000, max_contexts: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): a row for each row of docs."""
     predict = predictor(docs, sample_docs, max_contexts, id_col, text_col, lang_col)
