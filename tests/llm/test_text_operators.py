@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -7,9 +8,9 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from weftmap.llm import bpe, langid, license_scan, packing, token_counts
+from weftmap.llm import bpe, langid, license_scan, packing, token_counts, words
 from weftmap.llm.queries import vocabulary
-from weftmap.llm.words import WordEncoder, forget
+from weftmap.llm.words import WordEncoder
 
 WORD, BYTE = vocabulary("word_bpe_49k.json"), vocabulary("byte_bpe_50k.json")
 
@@ -97,12 +98,54 @@ def test_packing(docs, none):
     assert packing.decompose(none, WORD).count() == 0
 
 
-def test_word_cache(texts):
+def test_batches(docs, tmp_path):
+    path = str(tmp_path / "pieces")
+    packing.decompose(docs.repartition(3), WORD).write.parquet(path)
+    pieces = docs.sparkSession.read.parquet(path)
+    found = packing.batches(pieces, 64).collect()
+    assert len(found) == pieces.count() and len({(p["bucket"], p["batch"], p["place"]) for p in found}) == len(found)
+    sizes = {}
+    for p in found:
+        assert p["place"] < max(1, 64 // p["length"])
+        sizes.setdefault(p["bucket"], {}).setdefault(p["batch"], []).append(p["place"])
+    for bucket, by_batch in sizes.items():
+        assert sorted(by_batch) == list(range(len(by_batch)))
+        assert all(len(by_batch[k]) == max(1, 64 >> bucket) for k in range(len(by_batch) - 1))
+    assert packing.batches(pieces.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("special", [False, True])
+def test_word_encoder_against_library(texts, special):
+    """Letters that end in a mark when composed or lowered, code points of many scripts, and each one alone."""
+    encoder, t = WordEncoder(WORD, special), Tokenizer.from_file(WORD)
+    t.encode_special_tokens = special
+    r = random.Random(21)
+    pools = ["".join(map(chr, range(0x1000))), "".join(map(chr, range(0x3000))), "İक़य़़,.'st '’re<|endoftext|>Σσςſ\u0327\u0301ﬁÅéÉ 1２\x1c\x85\u3000", "".join(map(chr, range(0x20, 0x180)))]
+    made = [*texts, "İ,", "क़,", "य़.", "ढ़!", "a" * 300 + ".", "x\x01y"] + [chr(k) + s for k in range(0x2000) for s in ("", ",")]
+    made += ["".join(r.choice(pool) for _ in range(r.randint(0, 14))) + r.choice(["", "<|endoftext|>", " x", "'s", "."]) for pool in pools for _ in range(10_000)]
+    want = [e.ids for e in t.encode_batch_fast([x or "" for x in made], add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode_all(made)] == want
+
+
+def test_word_encoder_in_small_stretches(texts):
     t = Tokenizer.from_file(WORD)
-    small = WordEncoder(WORD, cache_words=50)
-    for text in [*texts, *texts]:
-        assert np.frombuffer(small.encode(text), "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
-    assert len(small.kept) <= 50 and set(forget({"a" * k: b"" for k in range(1, 11)})) == {"a" * k for k in range(1, 5)}
+    small = WordEncoder(WORD, stretch_bytes=50)
+    for text, ids in zip(texts, small.encode_all(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text or "", add_special_tokens=False).ids
+    assert small.encode(None) == b"" and small.encode_all([]) == []
+
+
+def test_every_token_is_mergeable_or_left_out():
+    """What the byte-level encoder rests on: a token's own bytes merge into it, by one pair only."""
+    with open(WORD, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    assert len({"".join(m) for m in model["merges"]}) == len(model["merges"])
+    assert len(words.mergeable(WORD)) == len(model["vocab"])
+    assert words.mergeable(BYTE) is None  # of another kind
+
+
+def test_forget():
+    assert set(bpe.forget({"a" * k: b"" for k in range(1, 11)})) == {"a" * k for k in range(1, 5)}
 
 
 # 3
@@ -209,6 +252,29 @@ def test_separators_across_blocks(spark):
     assert all(o == sum(1 for y in got if y[0] == f and y[2] < s) for f, o, s, _, _ in got)
 
 
+@pytest.mark.parametrize("width", [2, 4])
+def test_flat_files(spark, tmp_path, width):
+    """Files written elsewhere, read in byte ranges; one of them empty, one not closed."""
+    r = random.Random(31)
+    want = {}
+    for name, n in (("a b.bin", 1000), ("c.bin", 0), ("d%20.bin", 37), ("e.bin", 16)):
+        ids = [r.choice((1, 2, 3, 9)) for _ in range(n)]
+        (tmp_path / name).write_bytes(np.array(ids, f"<u{width}").tobytes())
+        start = 0
+        for i, x in enumerate([*ids, 9]):
+            if x == 9 and not (i == len(ids) and start == i):
+                want.setdefault(name, []).append((start, i - start, i < len(ids)))
+                start = i + 1
+    blocks = token_counts.read_flat(spark, str(tmp_path), block_ids=16, id_bytes=width)
+    got = {}
+    for x in token_counts.scan_separators(blocks, 9).orderBy("file", "ordinal").collect():
+        got.setdefault(x["file"], []).append((x["start"], x["n_tokens"], x["closed"]))
+    assert sorted(got.values()) == sorted(want.values())
+    (tmp_path / "odd.bin").write_bytes(b"\0" * (width + 1))
+    with pytest.raises(Exception, match="in ids of"):
+        token_counts.read_flat(spark, str(tmp_path), 16, width).count()
+
+
 # 9
 
 

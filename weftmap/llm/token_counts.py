@@ -8,20 +8,23 @@ each block (its separators, its length) goes through a prefix scan over the bloc
 file; that gives the ordinal of the first document ending there and where it began, and
 each block then knows the lengths of all documents that end in it.
 
+Files written elsewhere come in by ``read_flat``, in byte ranges.
+
 Defined cases: null text is an empty document (one separator); a file that doesn't end in
 a separator has a last, open document, reported with closed = false; empty blocks and
-files have no documents; repeated rows are documents of their own; columns other than
-those named are ignored.
+files have no documents; repeated rows are documents of their own; a very long text is
+tokenized in one task, with some twenty times its size in memory, and then cut into blocks
+like any other; columns other than those named are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -29,7 +32,6 @@ from .common import materialise, ship
 from .words import word_encoder
 
 BLOCK_IDS = 1 << 16
-ROWS = 64
 
 
 def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_ids: int = BLOCK_IDS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -40,32 +42,72 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_ids: int =
     ship(docs.sparkSession)
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, size = word_encoder(tokenizer, True), separator.to_bytes(4, "little"), 4 * block_ids
+        encoder, size = word_encoder(tokenizer, True), 4 * block_ids
         file, block, ordinal, rest = TaskContext.get().partitionId(), 0, 0, bytearray()
         names, kinds = ["file", "block", "ids", "ordinal", "doc_id"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-        rows = lambda out: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+        rows = lambda *columns: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+        def blocks(some: list[bytes]) -> pa.RecordBatch:
+            return rows([file] * len(some), range(block, block + len(some)), some, [None] * len(some), [None] * len(some))
+
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                part, out = batch.slice(at, ROWS), []
-                for doc_id, ids in zip(part.column(0), encoder.encode_all(part.column(1).to_pylist())):
-                    rest += ids + end
-                    out.append((file, None, None, ordinal, doc_id.as_py()))
-                    ordinal += 1
-                    done = len(rest) - len(rest) % size
-                    for k in range(0, done, size):
-                        out.append((file, block, bytes(rest[k : k + size]), None, None))
-                        block += 1
-                    del rest[:done]
-                if out:
-                    yield rows(out)
+            for at, ids, bounds in encoder.encode_texts(batch.column(1), separator):
+                n = len(bounds) - 1
+                yield rows([file] * n, [None] * n, [None] * n, range(ordinal, ordinal + n), batch.column(0).slice(at, n))
+                ordinal += n
+                rest += ids.tobytes()
+                done = len(rest) - len(rest) % size
+                for k in range(0, done, size * 64):
+                    some = [bytes(rest[x : x + size]) for x in range(k, min(done, k + size * 64), size)]
+                    yield blocks(some)
+                    block += len(some)
+                del rest[:done]
         if rest:
-            yield rows([(file, block, bytes(rest), None, None)])
+            yield blocks([bytes(rest)])
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = materialise(chosen.mapInArrow(tokenize, "file long, block long, ids binary, ordinal long, doc_id long"), "flat")
     return both.where("block is not null").select("file", "block", "ids"), both.where("ordinal is not null").select("file", "ordinal", "doc_id")
 
 
+def open_range(path: str, offset: int, length: int) -> bytes:
+    """Bytes of a file in any store that Arrow reads."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as file:
+        return file.read_at(length, offset)
+
+
+def read_flat(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS, id_bytes: int = 4, read: Callable[[str, int, int], bytes] = open_range) -> DataFrame:
+    """(file, path, block, ids) of flat token files under path, whose ids are little-endian and unsigned, 2 or 4 bytes each.
+
+    Spark lists the files, without reading them; each block is a byte range that a task of
+    its own may read, so one long file is read by many tasks. read(path, offset, length) is
+    for stores that Arrow doesn't know. A length that isn't a whole number of ids raises.
+    """
+    ship(spark)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    size = block_ids * id_bytes
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(size).cast("long"))
+    ranges = files.select("path", "length", F.posexplode(starts).alias("block", "offset")).select("path", F.col("block").cast("long").alias("block"), "offset", F.least(F.lit(size), F.col("length") - F.col("offset")).alias("n"))
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                data = read(row["path"], row["offset"], row["n"])
+                if len(data) != row["n"] or len(data) % id_bytes:
+                    raise ValueError(f"{row['path']}: {len(data)} bytes at {row['offset']} instead of {row['n']}, in ids of {id_bytes}")
+                ids = np.frombuffer(data, f"<u{id_bytes}").astype("<u4").tobytes()
+                yield pa.RecordBatch.from_pylist([{"path": row["path"], "block": row["block"], "ids": ids}], pa.schema([("path", pa.string()), ("block", pa.int64()), ("ids", pa.binary())]))
+
+    # blocks of one file are dealt to all tasks
+    dealt = ranges.repartition(spark.sparkContext.defaultParallelism * 4)
+    return dealt.mapInArrow(load, "path string, block long, ids binary").select(F.xxhash64("path").alias("file"), "path", "block", "ids")
+
+
 def scan_separators(blocks: DataFrame, separator: int) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) for each document of flat files; n_tokens is without the separator.
 
