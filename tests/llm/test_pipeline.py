@@ -13,7 +13,7 @@ from weftmap.llm import queries
 from weftmap.llm.queries import vocabulary
 
 sys.path.insert(0, str(Path(__file__).parent))
-from test_record_operators import plain_components, plain_fingerprint  # noqa: E402
+from test_near import plain_roots  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,12 +27,14 @@ def test_stages_against_brute_force(spark):
         best[norm] = min(best.get(norm, (0, 1 << 60)), (-len(t), k))
     ids = {k for _, k in best.values()}
     kept = [(k, t) for k, t in kept if k in ids]
-    fps = {k: tuple(plain_fingerprint(t, 5, n) for n in range(8)) for k, t in kept}
-    root = plain_components(set(fps.values()))
+    # sets of five-word shingles of a similarity of 0.8 or more, as the stage has it
+    kept.sort()
+    root = plain_roots([t for _, t in kept])
     first = {}
-    for k in sorted(fps):
-        first.setdefault(root[fps[k]], k)
-    kept = {k: t for k, t in kept if k in first.values()}
+    for k, x in enumerate(root):
+        first.setdefault(x, k)
+    assert len(first) < len(kept)
+    kept = {kept[k][0]: kept[k][1] for k in first.values()}
     t = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
     got = {}
     for p in corpus_pipeline.run(spark, SF).collect():

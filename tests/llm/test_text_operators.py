@@ -182,12 +182,30 @@ def test_code_lengths_are_exact(spark):
     r = random.Random(4)
     rows = [(k, " ".join(r.choice(("the", "and", "of") if k % 2 else ("der", "und", "für")) for _ in range(40)), "en" if k % 2 else "de") for k in range(30)]
     counts = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    model = langid.Model(counts, 100_000)
-    for text in ["the end", "und für die", "xyz £", "a", "für" * 50]:
+    model = langid.Model(counts)
+    made = ["the end", "und für die", "xyz £", "a", "für" * 50, "", "漢字", "the und of der " * 9]
+    for text in made:
         got = model.bits([text])[0]
         assert got == pytest.approx([plain_bits(counts, k, text) for k in range(2)], rel=1e-5)
-    few = langid.Model(counts, 5)  # contexts beyond the bound fall back to shorter ones
-    assert few.cost.shape[0] == 5 and few.predict(["the and the"])[0] == ["en"]
+    assert np.allclose(model.bits(made * 3), np.concatenate([model.bits([t]) for t in made] * 3))
+
+
+def test_code_lengths_of_a_large_sample(spark):
+    """Real texts of four languages, all contexts kept; long texts in stretches."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = langid.learn(docs)
+    model = langid.Model(counts)
+    for text in ["Die the het, les où?", "x" * 40]:
+        assert model.bits([text])[0] == pytest.approx([plain_bits(counts, k, text) for k in range(len(counts.languages))], rel=1e-5)
+    long = "the quick und für " * 150_000
+    assert model.bits([long])[0] == pytest.approx(model.bits(["the quick und für " * 2])[0] + 149_998 * (model.bits(["the quick und für " * 3])[0] - model.bits(["the quick und für " * 2])[0]), rel=1e-5)
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    rows = [(k, f"word{k} " * 200, "en") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    few, all_ = langid.learn(docs, sample_bytes=20_000), langid.learn(docs)
+    assert 0 < few.n.sum() < 100_000 < all_.n.sum()
 
 
 def test_held_out_accuracy(spark):

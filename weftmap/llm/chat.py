@@ -8,7 +8,8 @@ one role become one block by array aggregation, and blocks are concatenated:
 ``&`` and ``<`` inside roles and texts are written ``&amp;`` and ``&lt;``, line ends
 inside roles ``&nl;``; so no text can hold a control string and the output can be read
 back exactly. The loss mask is run-length coded, one entry per turn: skip that many
-code points, then take that many.
+code points, then take that many. What is read under it is sliced from the formatted text
+at the mask's own places.
 
 Defined cases: null text is empty; null role reads back as empty; a null conv_id is a
 conversation of its own; null turns sort first; rows with equal turns are ordered by
@@ -81,27 +82,41 @@ def format_chats(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
     )
 
 
-def read_back(formatted: Column) -> Column:
-    """array<struct<role, raw>> of a formatted conversation; raw is each turn's text, still escaped."""
+def stretches(formatted: Column) -> Column:
+    """array<struct<role, text>>: the formatted text cut after each turn's text, so that it is these and a last END
+    joined; role is that of the block, unescaped."""
 
-    def turns_of(block: Column) -> Column:
-        body = F.substring(block, len(TURN) + 1, 2**31 - 1)
-        role = unescape_role(F.substring_index(body, "\n", 1))
-        texts = F.substring(body, F.char_length(F.substring_index(body, "\n", 1)) + 2, F.lit(2**31 - 1))
-        return F.transform(F.split(texts, r"<\|next\|>"), lambda raw: F.struct(role.alias("role"), raw.alias("raw")))
+    def turns_of(block: Column, k: Column) -> Column:
+        role = unescape_role(F.substring_index(F.substring(block, len(TURN) + 1, 2**31 - 1), "\n", 1))
+        before = lambda j: F.when(j > 0, NEXT).when(k > 0, END).otherwise("")
+        return F.transform(F.split(block, r"<\|next\|>"), lambda raw, j: F.struct(role.alias("role"), F.concat(before(j), raw).alias("text")))
 
     found = F.filter(F.split(formatted, r"<\|end\|>\n"), lambda b: b != "")
     return F.flatten(F.transform(found, turns_of))
 
 
+def text_of(stretch: Column) -> Column:
+    """What a turn said: its stretch without the control strings and the role before it, unescaped."""
+    is_next = F.startswith(stretch, F.lit(NEXT))
+    head = F.when(is_next, F.lit(len(NEXT))).otherwise(F.char_length(F.substring_index(stretch, "\n", F.when(F.startswith(stretch, F.lit(END)), 2).otherwise(1))) + 1)
+    return unescape(F.substring(stretch, head + 1, F.lit(2**31 - 1)))
+
+
+def masked(stretch: Column, entry: Column) -> Column:
+    """The code points that an entry of the mask takes. It must end where the stretch ends, or the mask belongs to another text."""
+    wrong = F.raise_error(F.lit("the loss mask isn't in step with the text")).cast("string")
+    return F.when(entry["skip"] + entry["take"] == F.char_length(stretch), F.substring(stretch, (entry["skip"] + 1).cast("int"), entry["take"].cast("int"))).otherwise(wrong)
+
+
 def read_turns(chats: DataFrame, *more: str) -> DataFrame:
     """(conv_id, turns array<struct<role, text>>, loss_texts array<string>) parsed from the output alone.
 
-    loss_texts holds what the mask takes of each turn's stretch, unescaped; more names columns to keep.
+    loss_texts holds what the mask takes of the formatted text, unescaped: walking the mask,
+    each entry skips and takes code points from where the one before ended. An entry ends
+    where a turn's text does, so the walk is done stretch by stretch, in linear time.
+    more names columns to keep.
     """
-    parsed = chats.select("conv_id", *more, "loss_mask", read_back(F.col("formatted")).alias("parsed"))
-    taken = let(
-        F.arrays_zip("parsed", "loss_mask"),
-        lambda zs: F.transform(F.filter(zs, lambda z: z["loss_mask"]["take"] > 0), lambda z: unescape(F.right(z["parsed"]["raw"], z["loss_mask"]["take"].cast("int")))),
-    )
-    return parsed.select("conv_id", *more, F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), unescape(t["raw"]).alias("text"))).alias("turns"), taken.alias("loss_texts"))
+    parsed = chats.select("conv_id", *more, "loss_mask", stretches(F.col("formatted")).alias("parsed"))
+    taken = F.transform(F.arrays_zip("parsed", "loss_mask"), lambda z: F.struct(masked(z["parsed"]["text"], z["loss_mask"]).alias("raw"), (z["loss_mask"]["take"] > 0).alias("own")))
+    lost = F.transform(F.filter(taken, lambda t: t["own"]), lambda t: unescape(t["raw"]))
+    return parsed.select("conv_id", *more, F.transform("parsed", lambda t: F.struct(t["role"].alias("role"), text_of(t["text"]).alias("text"))).alias("turns"), lost.alias("loss_texts"))

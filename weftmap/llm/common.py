@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from ..scratch import materialise, scratch  # noqa: F401  the operators take these from here
 from ..scratch import ship as ship_package
 
-#: Broadcasts are asked for only below this many bytes; beyond it the join shuffles.
-BROADCAST_BYTES = 32 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -50,23 +46,53 @@ def with_locator(docs: DataFrame, prefix: str = "__wm_") -> DataFrame:
     return file_backed(docs).select("*", F.xxhash64("_metadata.file_path").alias(f"{prefix}file"), F.col("_metadata.row_index").alias(f"{prefix}row"))
 
 
-def small_enough(df: DataFrame, bytes_per_row: int) -> bool:
-    """Whether df, counted, is surely below the broadcast bound."""
-    most = BROADCAST_BYTES // bytes_per_row
-    return df.limit(most + 1).count() <= most
+#: Keys of fewer rows are never treated apart, and at most so many are.
+HOT_ROWS, HOT_KEYS = 1024, 50_000
+
+
+def hot_bound(total: int, hot_rows: int = HOT_ROWS) -> int:
+    """From how many rows on a key is hot, among total rows: at most HOT_KEYS keys can be."""
+    return max(2, hot_rows, total // HOT_KEYS)
+
+
+def join_sized(rows: DataFrame, sized: DataFrame, key: str, bound: int, n: str = "n") -> DataFrame:
+    """rows with the columns of sized, which has a row for each key and in n the number of rows that have it.
+
+    Hot keys, those of bound rows or more, are few and broadcast; so no task gets more
+    than bound rows of one key. rows should be cheap to read twice.
+    """
+    hot, cold = F.broadcast(sized.where(F.col(n) >= bound)), sized.where(F.col(n) < bound)
+    rest = rows.join(F.broadcast(sized.where(F.col(n) >= bound).select(key)), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key))
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+def drop_rows(docs: DataFrame, dropped: DataFrame, filter_bytes: int = 4 << 20) -> DataFrame:
     """docs, backed by files, without the rows whose locators are in dropped (columns __wm_file, __wm_row).
 
-    A checked small set is broadcast, so that texts don't move; a larger one shuffles.
+    A Bloom filter of at most filter_bytes lets rows that surely stay go on without being
+    moved; the others, those dropped and its false positives, meet dropped in a join.
     """
+    from .bloom import in_level, prefilter
+
+    place = F.xxhash64("__wm_file", "__wm_row")
+    keys = materialise(dropped.select("__wm_file", "__wm_row"), "dropped")
+    maybe = in_level(place, prefilter(keys.select(place.alias("key")), filter_bytes))
     located = with_locator(docs)
-    keys = dropped.select("__wm_file", "__wm_row")
-    if small_enough(keys, 64):
-        keys = F.broadcast(keys)
-    kept = located.join(keys, ["__wm_file", "__wm_row"], "left_anti")
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    doubtful = located.where(maybe).join(keys, ["__wm_file", "__wm_row"], "left_anti")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return located.where(~maybe).select(*columns).union(doubtful.select(*columns))
+
+
+def pick_rows(located: DataFrame, wanted: DataFrame, filter_bytes: int = 4 << 20) -> DataFrame:
+    """The rows of located, with a locator, that wanted names by theirs, and wanted's columns; wanted is written before.
+
+    A Bloom filter keeps rows that surely aren't wanted from being moved.
+    """
+    from .bloom import in_level, prefilter
+
+    place = F.xxhash64("__wm_file", "__wm_row")
+    maybe = in_level(place, prefilter(wanted.select(place.alias("key")), filter_bytes))
+    return located.where(maybe).join(wanted, ["__wm_file", "__wm_row"])
 
 
 def let(value, body):

@@ -8,13 +8,14 @@ is shuffled, so a digest that a third of the rows share costs one record a task.
 micro-batches go on from the same state.
 
 Digests that hold more than one row are hits: the normalised bytes of each such row are
-compared with those of the best row, found by its locator. Rows that differ (a digest
-collision) are grouped again by their whole text.
+compared with those of the best row, found by its locator. Only their texts are moved,
+picked by a Bloom filter of bounded size. Rows that differ (a digest collision) are
+grouped again by their whole text.
 
 Defined cases: null text counts as empty; of equal texts the row with the most code
 points, then the smallest doc_id (null last), then the first locator stays, so of wholly
-equal rows exactly one is kept; an empty table gives no rows; columns other than the two
-named are ignored.
+equal rows exactly one is kept; a very long text is compared like any other, as one value;
+an empty table gives no rows; columns other than the two named are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, scratch, small_enough, with_locator
+from .bloom import MAX_BYTES, in_level, prefilter
+from .common import HOT_ROWS, hot_bound, join_sized, materialise, scratch, with_locator
 
 #: State on disk; without files allocated ahead, which would cost 4 MB for each partition of the state.
 STATE_STORE = {
@@ -90,10 +92,48 @@ def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, id_col: str = "doc_id", text_col: str = "text", files_per_batch: int = 10_000) -> DataFrame:
+def collisions(located: DataFrame, states: DataFrame, hot: DataFrame, hot_rows: int, digest: Callable[[Column], Column], id_col: str, text_col: str, filter_bytes: int) -> DataFrame:
+    """(digest, norm, doc_id, length, file, row) of the rows whose normalised bytes aren't those of their digest's best row.
+
+    A Bloom filter of the digests held by more than one row picks the texts that are moved;
+    what it lets through by mistake has no best row to meet. A digest of many rows is dealt
+    with as many salts as it has hot_rows, each of which gets a copy of the best text.
+    """
+    hits = states.where("n > 1")
+    maybe = in_level(F.col("digest"), prefilter(hits.select(F.col("digest").alias("key")), filter_bytes))
+    text = located.select(
+        F.col("__wm_file").alias("file"),
+        F.col("__wm_row").alias("row"),
+        F.col(id_col).cast("long").alias("doc_id"),
+        normalised(F.col(text_col)).alias("norm"),
+        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length"),
+    )
+    some = materialise(text.withColumn("digest", digest(F.col("norm"))).where(maybe), "dedup-hits")
+    parts = lambda n: F.ceil(n / F.lit(hot_rows)).cast("int")
+    salted = some.join(F.broadcast(hot.select("digest", F.col("n").alias("hot_n"))), "digest", "left")
+    salted = salted.withColumn("salt", F.when(F.col("hot_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("file", "row"), parts(F.col("hot_n"))).cast("int"))).drop("hot_n")
+    is_hot = F.col("n") >= hot_rows
+    where_best = hits.select("digest", "n", F.col("best.file").alias("file"), F.col("best.row").alias("row"))
+    best = some.select("file", "row", "norm").join(where_best, ["file", "row"])
+    best = best.select("digest", F.col("norm").alias("best_norm"), F.explode(F.when(is_hot, F.sequence(F.lit(0), parts(F.col("n")) - 1)).otherwise(F.array(F.lit(0)))).alias("salt"))
+    met = salted.join(best, ["digest", "salt"]).where("norm <> best_norm")
+    return met.select("digest", "norm", "doc_id", "length", "file", "row")
+
+
+def exact_groups(
+    docs: DataFrame,
+    digest: Callable[[Column], Column] = sha256,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    files_per_batch: int = 10_000,
+    hot_rows: int = HOT_ROWS,
+    filter_bytes: int = MAX_BYTES,
+) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, __wm_file, __wm_row): a row for each row of docs.
 
     digest: of a normalised text; any one gives right groups, as hits are compared in full.
+    A digest of hot_rows rows, or a 50,000th of all, whichever is more, isn't dealt by its
+    key alone; there are 50,000 of them at most, which bounds what is broadcast.
     """
     spark = docs.sparkSession
     located = with_locator(docs.select(id_col, text_col))
@@ -101,24 +141,17 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256, i
     all_rows = records(located, digest, id_col, text_col)
     all_rows.write.parquet(path)
     rows = spark.read.schema(all_rows.schema).parquet(path)
-    if rows.isEmpty():
-        none = rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", F.col("file").alias("__wm_file"), F.col("row").alias("__wm_row"))
-        return none
+    total = rows.count()
+    if not total:
+        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", F.col("file").alias("__wm_file"), F.col("row").alias("__wm_row"))
     out = scratch(spark, "dedup-states")
     stream_states(spark, read_stream(spark, path, all_rows.schema, files_per_batch), scratch(spark, "dedup-stream"), out)
     states = materialise(latest_states(spark, out), "dedup-final")
-    hits = states.where("n > 1").select("digest", "n", F.col("best.file").alias("best_file"), F.col("best.row").alias("best_row"))
-
-    # full bytes of all rows of hits against those of the best one
-    wanted = F.broadcast(hits) if small_enough(hits, 160) else hits
-    text = located.select(F.col("__wm_file").alias("file"), F.col("__wm_row").alias("row"), F.col(id_col).cast("long").alias("doc_id"), normalised(F.col(text_col)).alias("norm"), F.char_length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("length"))
-    members = text.withColumn("digest", digest(F.col("norm"))).join(wanted, "digest")
-    is_best = (F.col("file") == F.col("best_file")) & (F.col("row") == F.col("best_row"))
-    best = members.where(is_best).select("digest", F.col("norm").alias("best_norm"))
-    differing = members.join(best, "digest").where("norm <> best_norm").select("digest", "norm", "doc_id", "length", "file", "row")
-    differing = materialise(differing, "dedup-collisions")
-
-    result = rows.join(states, "digest")
+    hot_rows = hot_bound(total, hot_rows)
+    hot = states.where(F.col("n") >= hot_rows)
+    differing = materialise(collisions(located, states, hot, hot_rows, digest, id_col, text_col, filter_bytes), "dedup-collisions")
+
+    result = join_sized(rows, states, "digest", hot_rows)
     if differing.isEmpty():
         chosen = result.select("*", F.col("n").alias("group_size"))
     else:

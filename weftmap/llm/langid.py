@@ -9,10 +9,10 @@ statistics are frozen, so the code length of a text is the exact sum of table en
 contexts are turned into states of the joint trees and looked up for all bytes at once.
 The language with the shortest code wins; score is its posterior under equal priors.
 
-Learning uses a bounded sample: at most about ``sample_docs`` labelled documents a
-language (chosen by a hash of doc_id, so the same in every run) and ``max_contexts``
-contexts of the whole, the most frequent first; rows held out are never learnt from.
-Prediction covers every row and whole text.
+Learning uses a bounded sample: about ``sample_docs`` labelled documents or ``sample_bytes``
+of their texts a language, whichever is less, chosen by a hash of id and text, so the same
+in every run; rows held out are never learnt from. The sample bounds the statistics: every
+context met in it is kept. Prediction covers every row and whole text.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0, so are all
 texts if nothing can be learnt; ties go to the first language by name; rows with a null
@@ -69,12 +69,17 @@ class Counts:
 
 
 class Model:
-    """Cost of each byte in each state, for each language."""
+    """Cost of each byte in each state of the joint trees, for each language.
 
-    def __init__(self, counts: Counts, max_contexts: int):
+    A state is a context that some language has. A language has a row of costs for each
+    context of its own; in a state that it lacks its row is that of the longest shorter
+    context it has, which is what escaping comes to. So the tables grow with what each
+    language was learnt from, and nothing is cut.
+    """
+
+    def __init__(self, counts: Counts):
         self.languages = counts.languages
-        k = len(self.languages)
-        if not k:
+        if not self.languages:
             return
         # the padding stands in contexts alone
         used = np.unique(np.append(counts.gram & 255, np.frombuffer(PAD, np.uint8)))
@@ -82,65 +87,73 @@ class Model:
         self.symbol[used] = np.arange(len(used))
         self.width = a = len(used) + 1
         parts = [self.symbol[counts.gram >> s & 255] for s in (24, 16, 8, 0)]
-        # contexts of 0 to 3 bytes as numbers: order, then its bytes in base a
+        # contexts of 0 to 3 bytes as numbers: order, then its bytes in base a, the nearest one last
         context = [np.zeros(len(counts.gram), np.int64)]
         for order in range(1, ORDER + 1):
             code = np.zeros(len(counts.gram), np.int64)
             for p in parts[ORDER - order : ORDER]:
                 code = code * a + p
             context.append(code)
-        self.state_of = []  # for each order: state of each context code
-        chosen: list[tuple[np.ndarray, np.ndarray]] = []
-        room, base = max_contexts, 0
-        for order in range(ORDER + 1):
-            codes, inverse = np.unique(context[order], return_inverse=True)
-            total = np.bincount(inverse, counts.n, len(codes))
-            best = np.sort(np.argsort(-total, kind="stable")[: max(room, 1 if order == 0 else 0)])
-            room -= len(best)
-            dense = np.full(a**order, -1, np.int32)
-            dense[codes[best]] = base + np.arange(len(best))
-            if order:  # unknown contexts fall back to the next shorter one
-                shorter = np.tile(self.state_of[-1], a)
-                dense = np.where(dense < 0, shorter, dense)
-            self.state_of.append(dense)
-            chosen.append((codes[best], np.full(len(best), order)))
-            base += len(best)
-        self.cost = np.zeros((base, a, k), np.float32)
-        for lang in range(k):
+        known = [np.unique(c) for c in context]
+        bases = np.concatenate(([0], np.cumsum([len(c) for c in known])))
+        state_of = np.zeros(1, np.int32)  # for each context of an order its state, or that of the next shorter one
+        shorter = []  # for each order, the states of its contexts' next shorter ones
+        for order in range(1, ORDER + 1):
+            shorter.append(state_of[known[order] % a ** (order - 1)])
+            state_of = np.tile(state_of, a)
+            state_of[known[order]] = bases[order] + np.arange(len(known[order]))
+        self.state_of = state_of
+        self.row_of, self.cost = [], []  # for each language: row of each state, costs of each row and symbol
+        for lang in range(len(self.languages)):
             mine = counts.language == lang
-            tables = []
-            for order in range(ORDER + 1):
-                keys = context[order][mine] * a + parts[ORDER][mine]
-                tables.append((np.unique(keys), np.bincount(np.unique(keys, return_inverse=True)[1], counts.n[mine])))
-            at = 0
-            for order, (codes, _) in enumerate(chosen):
-                for begin in range(0, len(codes), 2048):
-                    some = codes[begin : begin + 2048]
-                    self.cost[at : at + len(some), :, lang] = self._costs(some, order, tables)
-                    at += len(some)
-        self.flat = self.cost.reshape(-1, k)
-
-    def _costs(self, codes: np.ndarray, order: int, tables: list) -> np.ndarray:
+            own = [np.unique(c[mine]) for c in context]
+            row_of, base = np.zeros(bases[-1], np.int32), len(own[0])
+            for order in range(1, ORDER + 1):
+                here = row_of[bases[order] : bases[order + 1]]
+                here[:] = row_of[shorter[order - 1]]
+                here[np.searchsorted(known[order], own[order])] = base + np.arange(len(own[order]))
+                base += len(own[order])
+            self.row_of.append(row_of)
+            self.cost.append(self._costs(own, [c[mine] for c in context], parts[ORDER][mine], counts.n[mine]).reshape(-1))
+
+    def _costs(self, own: list[np.ndarray], context: list[np.ndarray], symbol: np.ndarray, n: np.ndarray, stretch: int = 4096) -> np.ndarray:
+        """Costs of a language's contexts (own, sorted, by order) and all symbols, from its grams."""
         a = self.width
-        cost = np.zeros((len(codes), a))
-        open_ = np.ones((len(codes), a), bool)
-        spent = np.zeros(len(codes))
-        for depth in range(order, -1, -1):
-            keys = (codes % a**depth)[:, None] * a + np.arange(a)[None, :]
-            known, n = tables[depth]
-            seen = np.zeros(keys.shape)
-            if len(known):
-                where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                seen = np.where(known[where] == keys, n[where], 0.0)
-            seen *= open_
-            distinct = (seen > 0).sum(1)
-            total = seen.sum(1) + distinct
-            hit = seen > 0
+        out = np.empty((sum(map(len, own)), a), np.float32)
+        seen: list[np.ndarray] = []  # counts of the contexts of each lower order
+        at = 0
+        for order in range(ORDER + 1):
+            place = np.searchsorted(own[order], context[order])
+            by_place = np.argsort(place, kind="stable")
+            bounds = np.searchsorted(place[by_place], np.arange(0, len(own[order]) + stretch, stretch))
+            kept = np.empty((len(own[order]), a), np.float32) if order < ORDER else None
+            for k, begin in enumerate(range(0, len(own[order]), stretch)):
+                codes, some = own[order][begin : begin + stretch], by_place[bounds[k] : bounds[k + 1]]
+                counts = np.bincount((place[some] - begin) * a + symbol[some], n[some], len(codes) * a).reshape(-1, a)
+                if kept is not None:
+                    kept[begin : begin + len(codes)] = counts
+                shorter = [seen[d][np.searchsorted(own[d], codes % a**d)] for d in range(order - 1, -1, -1)]
+                out[at : at + len(codes)] = self._escapes([counts, *shorter])
+                at += len(codes)
+            if kept is not None:
+                seen.append(kept)
+        return out
+
+    def _escapes(self, counts: list[np.ndarray]) -> np.ndarray:
+        """Costs from the counts of some contexts and those of their shorter ones, the longest first."""
+        cost = np.zeros(counts[0].shape)
+        open_ = np.ones(cost.shape, bool)
+        spent = np.zeros(len(cost))
+        for found in counts:
+            found = np.where(open_, found, 0.0)
+            hit = found > 0
+            distinct = hit.sum(1)
+            total = found.sum(1) + distinct
             with np.errstate(divide="ignore", invalid="ignore"):
-                cost = np.where(hit, spent[:, None] - np.log2(seen / total[:, None]), cost)
+                cost = np.where(hit, spent[:, None] - np.log2(found / total[:, None]), cost)
                 spent = spent + np.where(distinct > 0, -np.log2(distinct / np.maximum(total, 1)), 0.0)
             open_ &= ~hit
-        left = open_[:, :-1].sum(1) + (256 - (a - 1))
+        left = open_[:, :-1].sum(1) + (256 - (self.width - 1))
         return np.where(open_, (spent + np.log2(np.maximum(left, 1)))[:, None], cost)
 
     def bits(self, texts: list[str]) -> np.ndarray:
@@ -165,14 +178,14 @@ class Model:
             return
         s = self.symbol[np.frombuffer(b"".join(d for _, d in batch), np.uint8)]
         a = self.width
-        state = self.state_of[ORDER][(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
-        costs = self.flat[state.astype(np.int64) * a + s[3:]]
+        state = self.state_of[(s[:-3] * a + s[1:-2]) * a + s[2:-1]]
         # a text's bytes begin after its padding; what overlaps the next padding isn't counted
-        at = 0
-        for k, data in batch:
-            n = len(data) - ORDER
-            out[k] += costs[at : at + n].sum(0, dtype=np.float64)
-            at += len(data)
+        sizes = np.array([len(d) for _, d in batch])
+        begin = np.cumsum(sizes) - sizes
+        texts = np.array([k for k, _ in batch])
+        for lang, (row_of, cost) in enumerate(zip(self.row_of, self.cost)):
+            sums = np.concatenate(([0.0], np.cumsum(cost[row_of[state].astype(np.int64) * a + s[3:]], dtype=np.float64)))
+            np.add.at(out[:, lang], texts, sums[begin + sizes - ORDER] - sums[begin])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         ok = [k for k, t in enumerate(texts) if self.languages and has_letter(t)]
@@ -186,18 +199,20 @@ class Model:
         return names, scores
 
 
-def learn(docs: DataFrame, sample_docs: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Counts:
+def learn(docs: DataFrame, sample_docs: int = 4000, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Counts:
     """Statistics of a bounded sample of the labelled rows that aren't held out."""
     ship(docs.sparkSession)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where((fold(F.col("id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    totals = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("text").cast("long")).alias("size"))
+    totals = {r["lang"]: (r["rows"], r["size"]) for r in sizes.collect()}  # one row a language
     languages = tuple(sorted(totals))
     if not languages:
         return Counts((), np.empty(0, np.int64), np.empty(0, np.uint32), np.empty(0, np.float64))
     number = {x: k for k, x in enumerate(languages)}
     million = 1_000_000
-    share = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(min(million, int(million * sample_docs / totals[x]) + 1)))])
-    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(million)) < share[F.col("lang")]).select("lang", "text")
+    part = lambda rows, size: min(million, int(million * min(sample_docs / rows, sample_bytes / max(size, 1))) + 1)
+    share = F.create_map(*[v for x in languages for v in (F.lit(x), F.lit(part(*totals[x])))])
+    sample = labelled.where(F.pmod(F.xxhash64("id", "text"), F.lit(million)) < share[F.col("lang")]).select("lang", "text")
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,27 +231,27 @@ def learn(docs: DataFrame, sample_docs: int = 4000, id_col: str = "doc_id", text
 _MODELS: dict[int, Model] = {}
 
 
-def _model(counts: Counts, max_contexts: int) -> Model:
+def _model(counts: Counts) -> Model:
     """The tables for counts, kept by a worker process between tasks."""
-    key = hash((counts.languages, max_contexts, counts.language.tobytes(), counts.gram.tobytes(), counts.n.tobytes()))
+    key = hash((counts.languages, counts.language.tobytes(), counts.gram.tobytes(), counts.n.tobytes()))
     if key not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Model(counts, max_contexts)
+        _MODELS[key] = Model(counts)
     return _MODELS[key]
 
 
-def predictor(docs: DataFrame, sample_docs: int = 4000, max_contexts: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
+def predictor(docs: DataFrame, sample_docs: int = 4000, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):
     """A function of a text column giving struct<lang_pred, score>, learnt from docs."""
-    return predictor_of(docs.sparkSession, learn(docs, sample_docs, id_col, text_col, lang_col), max_contexts)
+    return predictor_of(docs.sparkSession, learn(docs, sample_docs, sample_bytes, id_col, text_col, lang_col))
 
 
-def predictor_of(spark: SparkSession, counts: Counts, max_contexts: int = 40_000):
+def predictor_of(spark: SparkSession, counts: Counts):
     """The function that predictor gives, of statistics already learnt."""
     shared = spark.sparkContext.broadcast(counts)  # bounded by the sample
 
     @F.arrow_udf("lang_pred string, score double")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = _model(shared.value, max_contexts)
+        model = _model(shared.value)
         for batch in batches:
             names, scores = [], []
             for at in range(0, len(batch), 256):
@@ -259,8 +274,8 @@ def lettered(text: Column) -> Column:
     return of(text)
 
 
-def identify(docs: DataFrame, sample_docs: int = 4000, max_contexts: int = 40_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = 4000, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): a row for each row of docs."""
-    predict = predictor(docs, sample_docs, max_contexts, id_col, text_col, lang_col)
+    predict = predictor(docs, sample_docs, sample_bytes, id_col, text_col, lang_col)
     found = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold(F.col(id_col)) == 0, F.lit(False)).alias("held_out"), predict(F.col(text_col)).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score")

@@ -8,10 +8,12 @@ puts 8-bit samples into blocks of up to 8 frames of 576 bytes with all kinds of
 clusters of 256 frames with cues for each, one audio track.
 
 Defined cases: null text is empty; every payload has at least one frame; equal texts give
-equal files; null media and media that isn't EBML have no packets; elements that end
-beyond the file are cut at its end; repeated rows give repeated rows; an empty table gives
-no rows; columns other than those named are ignored. A file is worked on in one task, a
-few documents at a time.
+equal files; null media and media that isn't EBML have no packets, null media null digests;
+of a file cut anywhere what is whole is read: elements that hold others are read as far as
+they go, blocks and numbers that are cut are left out, as are blocks whose lacing doesn't
+fill them and numbers beyond 64 bits; repeated rows give repeated rows; an empty table
+gives no rows; columns other than those named are ignored. A file is worked on in one
+task, a few documents at a time, so a very long text needs some times its size in memory.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -39,6 +42,11 @@ VERSION, READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ = 0x428
 NO_LACING, XIPH, FIXED, EBML_LACING = 0, 1, 2, 3
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
+#: Elements that hold others and are read as far as they go.
+MASTERS = frozenset({SEGMENT, INFO, TRACKS, TRACK, CLUSTER, CUES, CUE, CUE_POSITIONS})
+#: The largest number of a column.
+MOST = 2**63 - 1
+
 FRAME = 576
 FRAME_TICKS = 72  # milliseconds of 576 samples at 8000 a second
 BLOCK_FRAMES = 8
@@ -121,28 +129,32 @@ class Media:
     cues: list[tuple[int, int, int]] = field(default_factory=list)
 
 
-def read_number(data: bytes, at: int, keep_marker: bool) -> tuple[int, int, bool]:
-    """A variable-length number: (value, place after it, whether all its bits are ones)."""
-    first = data[at]
+def read_number(data: bytes, at: int, keep_marker: bool, end: int) -> tuple[int, int, bool]:
+    """A variable-length number before end: (value, place after it, whether all its bits are ones)."""
+    first = data[at] if at < end else 0
     if not first:
-        raise ValueError("a number of more than 8 bytes")
+        raise ValueError("no number of 8 bytes or less")
     width = 9 - first.bit_length()
-    if at + width > len(data):
-        raise ValueError("a number ends beyond the file")
+    if at + width > end:
+        raise ValueError("a number ends beyond its element")
     raw = int.from_bytes(data[at : at + width], "big")
     value = raw & (1 << 7 * width) - 1
     return (raw if keep_marker else value), at + width, value == (1 << 7 * width) - 1
 
 
 def elements(data: bytes, at: int, end: int, ends_before: frozenset[int] = frozenset()) -> Iterator[tuple[int, int, int]]:
-    """(id, begin, end) of the elements of a stretch; it ends before one of ends_before."""
+    """(id, begin, end) of the elements of a stretch; it ends before one of ends_before.
+
+    An element that ends beyond the stretch is cut if it holds others, else left out. Only
+    segments and clusters may be of unknown size.
+    """
     while at < end:
         try:
-            kind, body, _ = read_number(data, at, True)
-            size, body, unknown = read_number(data, body, False)
-        except (ValueError, IndexError):
+            kind, body, _ = read_number(data, at, True, end)
+            size, body, unknown = read_number(data, body, False, end)
+        except ValueError:
             return
-        if kind in ends_before:
+        if kind in ends_before or (unknown and kind not in (SEGMENT, CLUSTER)) or (not unknown and body + size > end and kind not in MASTERS):
             return
         if unknown:
             # lasts until an element that can't stand inside it
@@ -156,34 +168,46 @@ def elements(data: bytes, at: int, end: int, ends_before: frozenset[int] = froze
         at = stop
 
 
-def read_block(data: bytes, at: int, end: int, cluster_time: int, cluster: int, key: bool | None, media: Media) -> None:
-    track, at, _ = read_number(data, at, False)
-    relative, flags = struct.unpack_from(">hB", data, at)
-    at += 3
-    lacing = flags >> 1 & 3
+def lacing_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int], int]:
+    """(sizes, where the frames begin) of a block's frames; ValueError unless they fill it exactly."""
     if lacing == NO_LACING:
-        sizes = [end - at]
-    else:
-        n = data[at] + 1
-        at += 1
-        if lacing == FIXED:
-            sizes = [(end - at) // n] * n
+        return [end - at], at
+    if at >= end:
+        raise ValueError("a block without its number of frames")
+    n, at = data[at] + 1, at + 1
+    if lacing == FIXED:
+        if (end - at) % n:
+            raise ValueError("frames of one size don't fill their block")
+        return [(end - at) // n] * n, at
+    sizes: list[int] = []
+    for k in range(n - 1):
+        if lacing == XIPH:
+            stop = next((x for x in range(at, end) if data[x] != 255), end)
+            if stop == end:
+                raise ValueError("a size ends beyond its block")
+            size, at = 255 * (stop - at) + data[stop], stop + 1
         else:
-            sizes = []
-            for k in range(n - 1):
-                if lacing == XIPH:
-                    size = 0
-                    while data[at] == 255:
-                        size += 255
-                        at += 1
-                    size += data[at]
-                    at += 1
-                else:
-                    value, after, _ = read_number(data, at, False)
-                    size = value if k == 0 else sizes[-1] + value - ((1 << 7 * (after - at) - 1) - 1)
-                    at = after
-                sizes.append(size)
-            sizes.append(end - at - sum(sizes))
+            value, after, _ = read_number(data, at, False, end)
+            size = value if k == 0 else sizes[-1] + value - ((1 << 7 * (after - at) - 1) - 1)
+            at = after
+        sizes.append(size)
+    sizes.append(end - at - sum(sizes))
+    if min(sizes) < 0:
+        raise ValueError("frames reach beyond their block")
+    return sizes, at
+
+
+def read_block(data: bytes, at: int, end: int, cluster_time: int, cluster: int, key: bool | None, media: Media) -> None:
+    """Add a block's packets to media; a block that doesn't hold what its head says is left out."""
+    try:
+        track, at, _ = read_number(data, at, False, end)
+        if at + 3 > end:
+            return
+        relative, flags = struct.unpack_from(">hB", data, at)
+        lacing = flags >> 1 & 3
+        sizes, at = lacing_sizes(data, at + 3, end, lacing)
+    except ValueError:
+        return
     step = media.tracks.get(track, {}).get("default_duration", 0) // media.scale
     time = cluster_time + relative
     key = bool(flags & 0x80) if key is None else key
@@ -195,7 +219,8 @@ def read_block(data: bytes, at: int, end: int, cluster_time: int, cluster: int,
 
 def read_matroska(data: bytes | None) -> Media:
     media = Media()
-    number = lambda a, b: int.from_bytes(data[a:b], "big")
+    # numbers beyond a signed 64-bit one count as missing
+    number = lambda a, b, missing=0: value if b - a <= 8 and (value := int.from_bytes(data[a:b], "big")) <= MOST else missing
     if not data or data[:4] != id_bytes(EBML):
         return media
     for top, a, b in elements(data, 0, len(data)):
@@ -203,7 +228,7 @@ def read_matroska(data: bytes | None) -> Media:
             continue
         for kind, x, y in elements(data, a, b):
             if kind == INFO:
-                media.scale = next((number(p, q) for k, p, q in elements(data, x, y) if k == SCALE), media.scale)
+                media.scale = next((number(p, q) for k, p, q in elements(data, x, y) if k == SCALE), 0) or media.scale
             elif kind == TRACKS:
                 for _, p, q in (e for e in elements(data, x, y) if e[0] == TRACK):
                     found = {k: (r, s) for k, r, s in elements(data, p, q)}
@@ -243,13 +268,15 @@ def packet_table(media: DataFrame, id_col: str = "doc_id", media_col: str = "med
                 if not found.packets:
                     continue
                 track, ticks, offset, size, key, lacing, cluster = map(list, zip(*found.packets))
+                in_range = lambda xs: [v if -MOST <= v <= MOST else None for v in xs]
                 cues = sorted(found.cues)
-                index = np.searchsorted([c[0] for c in cues], ticks, side="right") - 1
+                times = [c[0] for c in cues]
+                index = [bisect_right(times, t) - 1 for t in ticks]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([doc_id.as_py()] * len(track), pa.int64()), pa.array(range(len(track)), pa.int64()), pa.array(track, pa.int64()), pa.array(ticks, pa.int64()),
-                        pa.array([t * found.scale for t in ticks], pa.int64()), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.bool_()),
-                        pa.array([LACINGS[x] for x in lacing], pa.string()), pa.array(cluster, pa.int64()), pa.array([cues[i][2] if i >= 0 else None for i in index], pa.int64()),
+                        pa.array([doc_id.as_py()] * len(track), pa.int64()), pa.array(range(len(track)), pa.int64()), pa.array(track, pa.int64()), pa.array(in_range(ticks), pa.int64()),
+                        pa.array(in_range([t * found.scale for t in ticks]), pa.int64()), pa.array(offset, pa.int64()), pa.array(size, pa.int64()), pa.array(key, pa.bool_()),
+                        pa.array([LACINGS[x] for x in lacing], pa.string()), pa.array(cluster, pa.int64()), pa.array(in_range([cues[i][2] if i >= 0 else MOST + 1 for i in index]), pa.int64()),
                     ],
                     ["doc_id", "packet", "track", "ticks", "nanoseconds", "offset", "size", "key", "lacing", "cluster", "cue_offset"],
                 )
@@ -274,7 +301,7 @@ def encode_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def feature(found: Media, payload: bytes) -> str:
     """Packets, clusters, cues and length of a file, and mean, deviation and mean step of its samples."""
-    samples = np.frombuffer(payload, np.uint8).astype(np.int16)
+    samples = np.frombuffer(payload or b"\0", np.uint8).astype(np.int16)
     ticks = found.packets[-1][1] + FRAME_TICKS if found.packets else 0
     step = np.abs(np.diff(samples)).mean() if len(samples) > 1 else 0.0
     return f"packets={len(found.packets)};clusters={len({p[6] for p in found.packets})};cues={len(found.cues)};ms={ticks};mean={samples.mean():.4f};std={samples.std():.4f};step={step:.4f}"
@@ -289,6 +316,9 @@ def media_digests(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
             rows = []
             for doc_id, n_bytes, data in zip(*batch.columns):
                 stored = data.as_py()
+                if stored is None:
+                    rows.append((doc_id.as_py(), n_bytes.as_py(), 0, None, None, None, None, None))
+                    continue
                 found = read_matroska(stored)
                 payload = b"".join([stored[p[2] : p[2] + p[3]] for p in found.packets])
                 rows.append((doc_id.as_py(), n_bytes.as_py(), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(found, payload)))

@@ -22,7 +22,8 @@ Components: large-star and small-star steps on links between distinct fingerprin
 step written to the shared checkpoint folder.
 
 Defined cases: null or blank text has fingerprint zero and links like any other; a text
-of fewer words than a shingle is one shingle; repeated rows share a component; a null
+of fewer words than a shingle is one shingle; a very long text is hashed whole in one task,
+with 8 bytes a word and a few times its size in memory; repeated rows share a component; a null
 doc_id is never the smallest unless all are null; an empty table gives no rows; columns
 other than the two named are ignored.
 """
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import HOT_ROWS, hot_bound, join_sized, materialise, ship
 
 GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 MAX_BITS = 2
@@ -195,31 +196,32 @@ def links(values: DataFrame, pair_limit: int = 64) -> DataFrame:
     return by_pairs.union(by_mids).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root): the smallest node of each component, for the nodes of edges (a, b)."""
+def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(node, root): the smallest node of each component, for the nodes of edges (a, b).
+
+    Each round's links are written; their number falls or their ends get smaller, so rounds
+    end by themselves. A node of many links isn't dealt by its key alone.
+    """
     current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    for _ in range(max_rounds):
+    while True:
+        bound = hot_bound(2 * current.count(), hot_rows)
         # large star: a node's larger neighbours go to its smallest
         both = current.select("u", "v").union(current.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.when(F.col("v") > F.col("u"), 1)).alias("n"))
+        large = join_sized(both.where("v > u"), least, "u", bound).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialise(large.distinct(), "large")
         # small star: a node and its smaller neighbours go to the smallest of these
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = materialise(small.where("u <> v").distinct(), "links")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_sized(large, low, "u", bound).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        current = materialise(small.where("u <> v").distinct(), "links")
         # stars only: no node is both a leaf and a root, and each leaf has one root
-        roots = after.select(F.col("v").alias("u")).distinct()
-        loose = after.join(roots, "u", "left_semi").limit(1).count()
-        twice = after.groupBy("u").count().where("count > 1").limit(1).count()
-        current = after
-        if not loose and not twice:
-            break
-    else:
-        raise RuntimeError("components don't end")
-    return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v").distinct())
+        roots = current.select(F.col("v").alias("u")).distinct()
+        twice = current.groupBy("u").count().where("count > 1").select("u")
+        if current.join(roots, "u", "left_semi").select("u").union(twice).isEmpty():
+            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).union(current.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pair_limit: int = 64, tables: int = 1) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), pair_limit: int = 64, tables: int = 1, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per row of docs: doc_id, fp long, component_id, and the columns named in keep.
 
     With more than one table, documents link if their fingerprints are within 2 bits in
@@ -227,13 +229,15 @@ def near_duplicates(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text
     """
     hashed = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__wm_text"), *keep), size, "__wm_text", "fps", tables).drop("__wm_text")
     rows = materialise(hashed.withColumn("fp", F.get("fps", F.lit(0))), "simhash")
-    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    nodes = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-nodes")
     if tables == 1:
         values = nodes.select(F.col("fp").alias("node"), F.lit(0).alias("tab"), F.col("fp").alias("value"))
     else:
         values = materialise(rows.select("fp", "fps").distinct().select(F.col("fp").alias("node"), F.posexplode("fps").alias("tab", "value")).distinct(), "simhash-values")
     found = materialise(components(links(values, pair_limit)), "simhash-components")
-    linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = linked.join(smallest, "root").select("fp", "component_id")
-    return rows.join(named, "fp", "left").select("doc_id", "fp", "component_id", *keep)
+    linked = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    linked = materialise(linked, "simhash-linked")
+    smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    bound = hot_bound(rows.count(), hot_rows)
+    named = join_sized(linked, smallest, "root", bound, "nodes").select("fp", "component_id", "n")
+    return join_sized(rows, materialise(named, "simhash-named"), "fp", bound).select("doc_id", "fp", "component_id", *keep)

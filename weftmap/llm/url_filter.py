@@ -3,32 +3,29 @@
 Level 1 encodes the listed keys. Level 2 encodes the unlisted keys of the corpus that
 level 1 lets through, level 3 the listed keys that level 2 lets through, and so on until
 a level lets through nothing it shouldn't. Walking the levels then answers exactly for
-every key of the corpus, with no join: a level is a literal array of words, probed by
+every key of the corpus, with no join: a level is one literal array of words, probed by
 native hashes. The size of the levels follows the lists (and the few false positives),
-not the corpus, and is checked against ``max_bytes``.
+not the corpus. Lists whose first level would be beyond ``max_bytes`` (2.8 million keys
+for 4 MB) aren't put into a plan: they meet the distinct keys of the urls in a join.
 
 A key is a host suffix (on label borders) plus a leading part of the path, of one of the
-lengths that occur in the list; so a rule is found by the keys of a url alone.
+label counts and lengths that occur in the list; so a rule is found by the keys of a url
+alone, and a host of many labels has no more keys than another.
 
-Defined cases: null urls and urls without ``://`` have empty host and path, and no key;
+Defined cases: very long urls cost their length; null urls and urls without ``://`` have empty host and path, and no key;
 an empty list matches nothing; repeated rows are judged alike; rules of equal length are
 ordered by host length; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-@dataclass(frozen=True)
-class Level:
-    seed: int
-    hashes: int
-    words: tuple[int, ...]
+from .bloom import MAX_BYTES, Level, build_level, in_level, level_bytes
 
 
 @dataclass(frozen=True)
@@ -49,82 +46,71 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return F.when(ok, F.translate(raw_host, upper, lower)).otherwise(""), F.when(ok, path).otherwise("")
 
 
-def host_suffixes(host: Column) -> Column:
-    """All suffixes on label borders, the longest first; none of an empty host."""
-    labels = F.split(host, r"\.")
-    found = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    return F.when(host == "", F.array().cast("array<string>")).otherwise(found)
-
-
-def url_keys(host: Column, path: Column, path_lengths: list[int]) -> Column:
-    """Keys of a url, the longest first: array<string>."""
-    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(path_lengths, reverse=True)]).cast("array<int>"), lambda n: n <= F.char_length(path))
-    pairs = F.flatten(F.transform(host_suffixes(host), lambda h: F.transform(fitting, lambda n: F.struct((-F.char_length(h) - n).alias("len"), (-F.char_length(h)).alias("host_len"), F.concat(h, F.substring(path, F.lit(1), n)).alias("key")))))
+def url_keys(host: Column, path: Column, labels: list[int], path_lengths: list[int]) -> Column:
+    """Keys of a url with host suffixes of so many labels and leading parts of the path of such lengths, the longest first."""
+    n_labels = F.char_length(host) - F.char_length(F.replace(host, F.lit("."))) + 1
+    suffixes = F.array_compact(F.array(*[F.when((host != "") & (n_labels >= n), F.substring_index(host, ".", -n)) for n in labels]))
+    fitting = F.filter(F.array(*[F.lit(n) for n in path_lengths]).cast("array<int>"), lambda n: n <= F.char_length(path))
+    pairs = F.flatten(F.transform(suffixes, lambda h: F.transform(fitting, lambda n: F.struct((-F.char_length(h) - n).alias("len"), (-F.char_length(h)).alias("host_len"), F.concat(h, F.substring(path, F.lit(1), n)).alias("key")))))
     return F.transform(F.sort_array(pairs), lambda p: p["key"])
 
 
-def _slot(key: Column, seed: int, i: int, bits: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed * 64 + i), key), F.lit(bits))
-
-
-def _in_level(key: Column, level: Level) -> Column:
-    bits = len(level.words) * 64
-    words = F.array(*[F.lit(w) for w in level.words])
-
-    def hit(i: int) -> Column:
-        slot = _slot(key, level.seed, i, bits)
-        word = F.get(words, F.shiftright(slot, 6).cast("int"))
-        # getbit counts from the lowest bit
-        return F.getbit(word, (slot % 64).cast("int")) == 1
-
-    return reduce(lambda a, b: a & b, [hit(i) for i in range(level.hashes)])
-
-
 def contains(key: Column, cascade: Cascade) -> Column:
     """Exact for every key of the universe the cascade was built over."""
     answer = F.lit(len(cascade.levels) % 2 == 1)
     for k in range(len(cascade.levels) - 1, -1, -1):
         # not in level k: listed if k is even-numbered from 1, else unlisted
-        answer = F.when(_in_level(key, cascade.levels[k]), answer).otherwise(F.lit(k % 2 == 1))
+        answer = F.when(in_level(key, cascade.levels[k]), answer).otherwise(F.lit(k % 2 == 1))
     return answer
 
 
-def _build_level(keys: DataFrame, n: int, seed: int, bits_per_key: int, hashes: int, max_bytes: int) -> Level:
-    bits = 64 * max(1, -(-n * bits_per_key // 64))
-    if bits // 8 > max_bytes:
-        raise ValueError(f"a Bloom level of {bits // 8} bytes is beyond max_bytes={max_bytes}")
-    slots = keys.select(F.explode(F.array(*[_slot(F.col("key"), seed, i, bits) for i in range(hashes)])).alias("slot"))
-    packed = slots.groupBy((F.shiftright("slot", 6)).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("value"))
-    words = [0] * (bits // 64)
-    for row in packed.collect():  # at most bits/64 rows, below max_bytes
-        words[row["word"]] = row["value"]
-    return Level(seed, hashes, tuple(words))
-
-
-def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_bytes: int = 4 << 20, max_levels: int = 24) -> Cascade:
-    """Cascade for listed (column key) that is exact over listed and universe (column key).
+def build_cascade(listed: DataFrame, universe: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_bytes: int = MAX_BYTES) -> Cascade | None:
+    """Cascade for listed (column key) that is exact over listed and universe (column key);
+    None if its first level, the largest, would be beyond max_bytes.
 
     The universe is streamed through level 1; only keys that pass are made distinct and
     compared with the list, so the shuffle holds the false positives and the list's hits.
+    From the eighth level on keys get ever more bits, so the cascade ends however few it began with.
     """
     inside = listed.select("key").where(F.col("key").isNotNull()).distinct()
     n = inside.count()
     if not n:
         return Cascade(())
-    levels = [_build_level(inside, n, 1, bits_per_key, hashes, max_bytes)]
-    outside = universe.select("key").where(_in_level(F.col("key"), levels[0])).distinct().join(inside, "key", "left_anti").persist()
+    if level_bytes(n, bits_per_key) > max_bytes:
+        return None
+    levels = [build_level(inside, level_bytes(n, bits_per_key), 1, hashes)]
+    outside = universe.select("key").where(in_level(F.col("key"), levels[0])).distinct().join(inside, "key", "left_anti").persist()
     try:
         wanted, other = outside, inside
         while n := wanted.count():
-            if len(levels) == max_levels:
-                raise ValueError("the cascade doesn't end: more bits per key are needed")
-            levels.append(_build_level(wanted, n, len(levels) + 1, bits_per_key, hashes, max_bytes))
-            wanted, other = other.where(_in_level(F.col("key"), levels[-1])), wanted
+            if level_bytes(n, bits_per_key) > max_bytes:
+                return None
+            more = bits_per_key << max(0, len(levels) - 7)
+            levels.append(build_level(wanted, level_bytes(n, more), len(levels) + 1, max(hashes, min(16, more // 2)) if more > bits_per_key else hashes))
+            wanted, other = other.where(in_level(F.col("key"), levels[-1])), wanted
     finally:
         outside.unpersist()
     return Cascade(tuple(levels))
 
 
+def as_keys(like: DataFrame, values: list[str] | tuple[str, ...]) -> DataFrame:
+    """A column key with the values, made of one literal."""
+    return like.sparkSession.range(1).select(F.explode(F.from_json(F.lit(json.dumps(list(values))), "array<string>")).alias("key"))
+
+
+def first_listed(rows: DataFrame, keys: Column, listed: DataFrame, name: str, **sizes) -> DataFrame:
+    """rows and one more column, the first of each row's keys that is listed (column key)."""
+    cascade = build_cascade(listed, rows.select(F.explode(keys).alias("key")), **sizes)
+    if cascade is not None:
+        return rows.withColumn(name, F.get(F.filter(keys, lambda k: contains(k, cascade)), F.lit(0)))
+    # a list too long to be part of a plan: distinct key arrays meet it by a join
+    keyed = rows.withColumn("__wm_keys", keys)
+    single = keyed.select("__wm_keys").distinct()
+    hits = single.select("__wm_keys", F.posexplode("__wm_keys").alias("pos", "key")).join(listed.select("key").distinct(), "key", "left_semi")
+    first = hits.groupBy("__wm_keys").agg(F.min_by("key", "pos").alias(name))
+    return keyed.join(first, "__wm_keys", "left").drop("__wm_keys")
+
+
 def judge_urls(
     pages: DataFrame,
     block: list[tuple[str, str]],
@@ -138,22 +124,23 @@ def judge_urls(
 
     Rules are (host, path). The longest listed key of a url decides; without one, a host
     with a word (split at dots and hyphens) listed in block_labels is blocked, others are
-    allowed. Three cascades are built: all rules, the blocking ones, and the words.
+    allowed. Three lists are matched: all rules, the blocking ones, and the words.
     """
-    spark = pages.sparkSession
     rules = sorted({h + p for h, p in [*block, *allow]})
     blocking = sorted({h + p for h, p in block} - {h + p for h, p in allow})
-    lengths = sorted({len(p) for _, p in [*block, *allow]}) or [0]
+    lengths = sorted({len(p) for _, p in [*block, *allow]}, reverse=True) or [0]
+    labels = sorted({h.count(".") + 1 for h, _ in [*block, *allow]}, reverse=True) or [1]
     host, path = url_parts(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
-    keys = urls.select(F.explode(url_keys(F.col("host"), F.col("path"), lengths)).alias("key"))
-    words = urls.select(F.explode(F.split("host", r"[.\-]")).alias("key"))
-    as_keys = lambda values: spark.createDataFrame([(v,) for v in values], "key string")
-    listed = build_cascade(as_keys(rules), keys, **sizes)
+    listed = as_keys(pages, rules)
+    found = first_listed(urls, url_keys(F.col("host"), F.col("path"), labels, lengths), listed, "rule", **sizes)
     # asked only about keys that are rules, so the rules are its universe
-    blocked = build_cascade(as_keys(blocking), as_keys(rules), **sizes)
-    labels = build_cascade(as_keys(block_labels), words, **sizes)
-    found = urls.withColumn("rule", F.get(F.filter(url_keys(F.col("host"), F.col("path"), lengths), lambda k: contains(k, listed)), F.lit(0)))
-    found = found.withColumn("block_label", F.get(F.filter(F.split("host", r"[.\-]"), lambda w: contains(w, labels)), F.lit(0)))
-    bad = F.when(F.col("rule").isNotNull(), contains(F.col("rule"), blocked)).otherwise(F.col("block_label").isNotNull())
-    return found.select("page_id", "host", "path", "rule", F.when(bad, "block").otherwise("allow").alias("verdict"), "block_label")
+    blocked = build_cascade(as_keys(pages, blocking), listed, **sizes)
+    if blocked is None:
+        found = found.join(as_keys(pages, blocking).select(F.col("key").alias("rule"), F.lit(True).alias("__wm_bad")), "rule", "left")
+        bad = F.coalesce("__wm_bad", F.lit(False))
+    else:
+        bad = contains(F.col("rule"), blocked)
+    found = first_listed(found, F.split("host", r"[.\-]"), as_keys(pages, block_labels), "block_label", **sizes)
+    verdict = F.when(F.col("rule").isNotNull(), bad).otherwise(F.col("block_label").isNotNull())
+    return found.select("page_id", "host", "path", "rule", F.when(verdict, "block").otherwise("allow").alias("verdict"), "block_label")
