@@ -32,6 +32,9 @@ def test_from_pixels_to_view(data, capsys):
     run("view", f"{d}/f.parquet", "--range", "chr_a:30-40")
     lines = capsys.readouterr().out.splitlines()
     assert lines[0].startswith("chrom1\tstart1") and [x.split("\t")[:6] for x in lines[1:]] == [["chr_a", "30", "40", "chr_a", "200", "210"]]
+    run("filter", f"{d}/out", f"{d}/by-pair", f"{d}/sizes", "--fdr", "0.01", "--log-ratio", "1", "--by-pair")
+    run("view", f"{d}/by-pair", "--no-write-header")
+    assert [x.split("\t")[:2] for x in capsys.readouterr().out.splitlines()] == [["chr_a", "30"]]
     run("merge", "--input-files", f"{d}/f.parquet", f"{d}/f.parquet", "-o", f"{d}/m.parquet", f"{d}/sizes")
     run("view", f"{d}/m.parquet", "--no-write-header")
     assert len(capsys.readouterr().out.splitlines()) == 2

@@ -1,12 +1,14 @@
 import math
+import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftmap.functions.fnch import fnch_tail, fnch_tail_sql, upper_tail
+from weftmap.functions.fnch import fnch_tail, fnch_tail_sql, upper_tail, upper_tails
 from weftmap.functions.stats import is_close, log_ratio, odds_ratio
 from weftmap.functions.text import pair_of_file, parse_range, parse_size, pretty_duration, pretty_size
 from weftmap.sources.text import short_double
@@ -26,6 +28,19 @@ def test_tail_is_exact(n1, n2, more, odds, n):
     assert upper_tail(n, n1, n2, total, odds) == pytest.approx(want, rel=1e-9, abs=1e-13)
 
 
+def test_rows_in_lockstep():
+    """Rows of a batch don't disturb each other, whatever their walks' lengths."""
+    r = random.Random(7)
+    rows = [(r.randint(1, 60), n1, n2, max(n1, n2) + r.randint(0, 90), r.uniform(0.01, 8)) for n1, n2 in ((r.randint(1, 60), r.randint(1, 60)) for _ in range(300))]
+    rows += [(200_000, 1_000_000, 1_000_000, 5_000_000, 1.0), (3, 4, 4, 30, 0.01), (5000, 60_000, 70_000, 900_000, 1.1)]
+    n, n1, n2, total, odds = (np.array(c) for c in zip(*rows))
+    together = upper_tails(n, n1, n2, total, odds)
+    assert together[-3:] == pytest.approx([upper_tail(*row) for row in rows[-3:]], rel=1e-12)
+    for p, row in zip(together[:300], rows):
+        assert p == pytest.approx(1.0 if row[0] == 1 else exact_tail(*row), rel=1e-9, abs=1e-13)
+    assert len(upper_tails(*(np.empty(0, np.int64) for _ in range(4)), np.empty(0))) == 0
+
+
 def test_tail_limits():
     assert upper_tail(1, 10, 10, 50, 1.0) == 1.0
     assert upper_tail(11, 10, 10, 50, 1.0) == 0.0

@@ -253,6 +253,52 @@ def test_coverage(spark):
     assert rows(dom.coverage(d, g)) == [("c", "c", 2, 10, 0.2)]
 
 
+def test_coverage_against_brute_force(spark):
+    r = random.Random(8)
+    g = Genome((("c", 950), ("d", 600)), 10)
+    rects = []
+    for _ in range(40):
+        a, b = sorted((r.choice("cd"), r.choice("cd")))
+        s1, s2 = r.randrange(0, 500), r.randrange(0, 500)
+        rects.append((a, s1, s1 + r.randrange(1, 100), b, s2, s2 + r.randrange(1, 100)))
+    cells = set()
+    for a, s1, e1, b, s2, e2 in rects:
+        for x in range(s1 // 50, (e1 - 1) // 50 + 1):
+            for y in range(s2 // 50, (e2 - 1) // 50 + 1):
+                cells.add((a, b, min(x, y), max(x, y)) if a == b else (a, b, x, y))
+    found = dom.coverage(spark.createDataFrame(rects, ROWS), g, 50).collect()
+    assert {(x["chrom1"], x["chrom2"]): x["covered"] for x in found} == {p: sum(c[:2] == p for c in cells) for p in {c[:2] for c in cells}}
+
+
+def test_product_by_tiles(spark):
+    g = Genome((("b", 100), ("a", 100)), 10)
+    d = spark.createDataFrame([("a", 0, 10), ("b", 5, 9), ("a", 20, 30)], "chrom string, start long, end long")
+    for kind in ("all", "cis", "trans"):
+        assert rows(dom.domain_product(d, g, kind, tiles=1)) == rows(dom.domain_product(d, g, kind, tiles=7))
+
+
+def test_masks_beyond_the_bound_are_counted(spark, monkeypatch):
+    """A genome too large for a broadcast by its size alone, and a mask that is small, or isn't."""
+    import weftmap.model as model
+
+    g = Genome((("a", 50), ("b", 50)), 10)
+    px = spark.createDataFrame([("a", "a", 0, 1, 1), ("a", "a", 1, 2, 1), ("a", "b", 0, 0, 1), ("a", "b", 2, 0, 1)], PIXELS)
+    mask = masking.seed_mask(spark.createDataFrame([("a", 0)], "chrom string, b long"), g)
+    for allowed in (64, 64 * 3, 1 << 20):
+        monkeypatch.setattr(model, "BROADCAST_BYTES", allowed)
+        assert rows(pixels.drop_masked(px, mask, g, settled=True)) == [("a", "a", 1, 2, 1), ("a", "b", 2, 0, 1)]
+
+
+def test_compare(spark):
+    from weftmap.plans.validate import compare
+
+    cols = f"{ROWS}, n long, p double"
+    a = spark.createDataFrame([("c", k, k + 1, "c", k, k + 1, k, 0.5) for k in range(5)], cols)
+    b = spark.createDataFrame([("c", k, k + 1, "c", k, k + 1, k + (k == 2), 0.5 + 1e-9 + (k == 3)) for k in range(1, 6)], cols)
+    assert [(x["start1"], x["status"], x["differing"]) for x in compare(a, b).orderBy("start1").collect()] == [(0, "missing", ""), (2, "different", "n"), (3, "different", "p"), (5, "unexpected", "")]
+    assert compare(a, a).count() == 0
+
+
 def test_genome():
     g = Genome((("a", 95), ("All", 5), ("b", 40)), 10)
     assert g.pairs() == [("a", "a"), ("a", "b"), ("b", "b")] and g.pairs("trans") == [("a", "b")]

@@ -11,7 +11,7 @@ from weftmap.plans.merge import merge_files, merge_results
 from weftmap.plans.products import product
 from weftmap.plans.view import view
 from weftmap.sources import manifest, results, text
-from weftmap.sources.pixels import is_empty, read_pixels
+from weftmap.sources.pixels import is_empty, read_pixel_text, read_pixels
 from weftmap.streaming.ingest import contacts_to_pixels, current_pixels, ingest
 
 G = Genome((("chr2", 100), ("chr1", 95)), 10)
@@ -140,6 +140,25 @@ def test_pixels(spark, tmp_path):
         read_pixels(spark, str(tmp_path / "bad"), G)
 
 
+def test_text_pixels(spark, tmp_path):
+    path = tmp_path / "dump"
+    path.write_text("chr2\t0\t10\tchr2\t30\t40\t5\r\nchr1\t20\tchr2\t10\t2\n\nchr2\t10\t20\tchr1\t20\t30\t1\nzz\t0\tchr1\t0\t9\n")
+    assert rows(read_pixel_text(spark, str(path), G)) == [("chr2", "chr1", 1, 2, 3), ("chr2", "chr2", 0, 3, 5)]
+    for bad, why in (("chr1\t0\t9\n", "not a pixel"), ("chr1\tx\tchr1\t0\t9\n", "not a number"), ("chr1\t0\tchr1\t0\t0.5\n", "whole numbers")):
+        path.write_text(bad)
+        with pytest.raises(Exception, match=why):
+            read_pixel_text(spark, str(path), G).collect()
+
+
+def test_pairs_in_files(spark, tmp_path):
+    made = results.export_pairs(some_results(spark), str(tmp_path), "out", G, results.build_metadata("compute", G, {}))
+    assert [p.rsplit("/", 1)[1] for p in made] == ["out.chr2.chr2.parquet", "out.chr2.chr1.parquet", "out.chr1.chr1.parquet"]
+    assert results.pair_files(str(tmp_path), "out", G) == made and rows(merge_files(spark, made, G)) == rows(some_results(spark))
+    results.export_file(some_results(spark), str(tmp_path / "other"), G, results.build_metadata("compute", Genome((("chr2", 101), ("chr1", 95)), 10), {}))
+    with pytest.raises(ValueError, match="different chromosomes"):
+        merge_files(spark, [made[0], str(tmp_path / "other")], G)
+
+
 def test_stored_expected(spark, tmp_path):
     px = spark.createDataFrame([("chr1", "chr1", i, j, 3) for i in range(9) for j in range(i, 9)], "chrom1 string, chrom2 string, b1 long, b2 long, n long")
     made = expected_values(px, G, Params(min_delta=10, mad_max=0, observed_cutoff=0, interpolate=False), kind="cis")

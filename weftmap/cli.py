@@ -117,6 +117,7 @@ def parser() -> argparse.ArgumentParser:
     for flag, value in (("--correct-pvals-chrom-by-chrom", "chrom-chrom"), ("--correct-pvals-cis-trans", "cis-trans"), ("--correct-pvals-all", "all")):
         how.add_argument(flag, dest="by", action="store_const", const=value)
     p.set_defaults(by="cis-trans")
+    p.add_argument("--by-pair", action="store_true", help="a folder written by all executors instead of one file")
     p.add_argument("--force", action="store_true")
 
     p = commands.add_parser("merge", help="many results into one file")
@@ -126,6 +127,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-o", "--output", required=True)
     p.add_argument("chrom_sizes")
     p.add_argument("--ignore-report-file", action="store_true")
+    p.add_argument("--by-pair", action="store_true", help="a folder written by all executors instead of one file")
     p.add_argument("--max-memory", type=lambda t: parse_size(t, 125 * 10**6), help="kept for old scripts; executors have their own limits")
     p.add_argument("--force", action="store_true")
 
@@ -161,6 +163,14 @@ def _out(path: str, force: bool) -> str:
     return "overwrite" if force else "errorifexists"
 
 
+def put(rows, args: argparse.Namespace, genome, mode: str, metadata: str) -> None:
+    """One file for exchange, or a folder by pair."""
+    if args.by_pair:
+        write_results(rows, args.output, genome, mode)
+    else:
+        export_file(rows, args.output, genome, metadata)
+
+
 def _print(rows) -> None:
     for row in tsv_lines(rows).toLocalIterator():
         print(row["line"])
@@ -212,12 +222,12 @@ def run(argv: list[str]) -> int:
             rows = rows.where((F.col("chrom1") == args.chrom1) & (F.col("chrom2") == (args.chrom2 or args.chrom1)))
         write_results(rows, args.output, genome, mode, codec=args.compression_method, level=args.compression_level)
     elif args.command == "filter":
-        _out(args.output, args.force)
+        mode = _out(args.output, args.force)
         earlier = read_metadata(args.input) if Path(args.input).is_file() else ""
         rows = filter_results(read_results(spark, args.input, "compute"), args.fdr, args.log_ratio, args.by, keep_all=not args.drop_non_significant)
-        export_file(rows, args.output, genome, build_metadata("filter", genome, {"fdr": args.fdr, "log-ratio": args.log_ratio, "by": args.by}, [earlier], VERSION))
+        put(rows, args, genome, mode, build_metadata("filter", genome, {"fdr": args.fdr, "log-ratio": args.log_ratio, "by": args.by}, [earlier], VERSION))
     elif args.command == "merge":
-        _out(args.output, args.force)
+        mode = _out(args.output, args.force)
         if args.input_prefix:
             prefix = Path(args.input_prefix)
             report = prefix.parent / f"{prefix.name}.json"
@@ -229,7 +239,7 @@ def run(argv: list[str]) -> int:
         if not paths:
             raise FileNotFoundError("no table to merge was found")
         earlier = [read_metadata(p) for p in paths if Path(p).is_file()]
-        export_file(merge_files(spark, paths, genome), args.output, genome, build_metadata("merge", genome, {"input-files": paths}, earlier, VERSION))
+        put(merge_files(spark, paths, genome), args, genome, mode, build_metadata("merge", genome, {"input-files": paths}, earlier, VERSION))
     elif args.command == "view":
         rows = view(read_results(spark, args.parquet), args.range, args.range2, args.pvalue_cutoff, args.log_ratio_cutoff)
         if args.write_header:

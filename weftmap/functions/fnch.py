@@ -4,7 +4,8 @@
 their neighbours by ``f(x)/f(x-1) = (n1-x+1)(n2-x+1) odds / (x (total-n1-n2+x))``. With
 ``f(mode) = 1`` both walks away from the mode fall, so the terms that matter are summed
 from the mode outwards until they are below a limit, and nothing overflows. The tail is
-summed from n on in units of f(n), which keeps tiny p-values exact.
+summed from n on in units of f(n), which keeps tiny p-values exact. The rows of a batch
+walk in lockstep, as lines of one array.
 
 ``fnch_tail`` is the Arrow kernel; ``fnch_tail_sql`` the same sums as a Spark expression,
 for checks: its higher-order functions visit the whole support.
@@ -24,83 +25,118 @@ MIN_OMEGA = 0.1
 INT32 = 2**31 - 1
 #: Terms below this share of the largest one don't change a double.
 SMALLEST = 1e-23
-STEP = 4096
-
-
-def _log_ratios(x: np.ndarray, n1: int, n2: int, rest: int, odds: float) -> np.ndarray:
-    return np.log(n1 - x + 1.0) + np.log(n2 - x + 1.0) + np.log(odds) - np.log(x) - np.log(rest + x)
-
-
-def _sum_up(at: int, top: int, n1: int, n2: int, rest: int, odds: float) -> float:
-    """Sum of f(x)/f(at) for x from at to top."""
-    total, log_f = 1.0, 0.0
-    while at < top:
-        x = np.arange(at + 1, min(at + STEP, top) + 1, dtype=np.float64)
-        logs = log_f + np.cumsum(_log_ratios(x, n1, n2, rest, odds))
-        total += float(np.exp(logs).sum())
-        log_f = float(logs[-1])
-        at += len(x)
-        # beyond the mode terms fall ever faster
-        if log_f < np.log(SMALLEST) + min(0.0, np.log(total)) and len(logs) > 1 and logs[-1] < logs[-2]:
-            break
-    return total
-
-
-def _sum_down(at: int, bottom: int, n1: int, n2: int, rest: int, odds: float) -> float:
-    """Sum of f(x)/f(at) for x from bottom to at-1; at is at or below the mode."""
-    total, log_f = 0.0, 0.0
-    while at > bottom:
-        x = np.arange(at, max(at - STEP, bottom), -1, dtype=np.float64)
-        logs = log_f - np.cumsum(_log_ratios(x, n1, n2, rest, odds))
-        total += float(np.exp(logs).sum())
-        log_f = float(logs[-1])
-        at -= len(x)
-        if log_f < np.log(SMALLEST):
-            break
-    return total
-
-
-def mode(n1: int, n2: int, total: int, odds: float) -> int:
-    low, high = max(0, n1 + n2 - total), min(n1, n2)
-    a, b, c = odds - 1.0, -((n1 + n2 + 2.0) * odds + (total - n1 - n2)), (n1 + 1.0) * (n2 + 1.0) * odds
-    root = np.sqrt(max(b * b - 4 * a * c, 0.0))
-    return int(min(max(np.floor(2 * c / (root - b)), low), high))
+#: Terms a row gets at once, at first and at most, and cells that are worked on together.
+FIRST_STEP, LAST_STEP, CELLS = 32, 4096, 1 << 20
+
+
+class Margins:
+    """The arguments of many rows, as arrays."""
+
+    def __init__(self, n1: np.ndarray, n2: np.ndarray, total: np.ndarray, odds: np.ndarray):
+        self.n1, self.n2, self.rest, self.odds = n1, n2, total - n1 - n2, np.log(odds)
+        self.low, self.high = np.maximum(0, n1 + n2 - total), np.minimum(n1, n2)
+
+    def log_ratios(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """log f(x)/f(x-1), a line of x for each of rows; meaningless outside the support."""
+        of = lambda v: v[rows][:, None]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.log(of(self.n1) - x + 1.0) + np.log(of(self.n2) - x + 1.0) + of(self.odds) - np.log(x) - np.log(of(self.rest) + x)
+
+    def steps(self, begin: np.ndarray, end: np.ndarray, direction: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Walks of all rows from begin to end in lockstep: (rows, ratios of their next terms, which of these
+        count, last one that does). What is sent back tells rows that need go no further."""
+        at, live, width = begin.copy(), np.flatnonzero((end - begin) * direction > 0), FIRST_STEP
+        while len(live):
+            kept = []
+            for k in range(0, len(live), max(1, CELLS // width)):
+                rows = live[k : k + max(1, CELLS // width)]
+                offset = np.arange(1, width + 1)[None, :]
+                # going up, the ratio of the next term; going down, that of the present one, upside down
+                x = (at[rows][:, None] + offset if direction > 0 else at[rows][:, None] - offset + 1).astype(np.float64)
+                left = (end[rows] - at[rows]) * direction
+                inside = offset <= left[:, None]
+                last = np.minimum(left, width) - 1
+                done = yield rows, np.where(inside, direction * self.log_ratios(rows, x), 0.0), inside, last
+                at[rows] += direction * (last + 1)
+                kept.append(rows[~done & ((end[rows] - at[rows]) * direction > 0)])
+            live, width = np.concatenate(kept), min(2 * width, LAST_STEP)
+
+    def sums(self, begin: np.ndarray, end: np.ndarray, direction: int) -> np.ndarray:
+        """For each row the sum of f(x)/f(begin) for x after begin, up to end."""
+        total, log_f = np.zeros(len(begin)), np.zeros(len(begin))
+        walk = self.steps(begin, end, direction)
+        step = next(walk, None)
+        while step:
+            rows, ratios, inside, last = step
+            logs = log_f[rows][:, None] + np.cumsum(ratios, axis=1)
+            total[rows] += np.where(inside, np.exp(logs), 0.0).sum(1)
+            place = np.arange(len(rows))
+            log_f[rows] = logs[place, last]
+            # beyond the mode terms fall ever faster
+            falling = (last > 0) & (ratios[place, last] < 0)
+            try:
+                step = walk.send(falling & (log_f[rows] < np.log(SMALLEST) + np.minimum(0.0, np.log1p(total[rows]))))
+            except StopIteration:
+                break
+        return total
+
+    def log_between(self, begin: np.ndarray, end: np.ndarray, direction: int) -> np.ndarray:
+        """For each row log f(end)/f(begin)."""
+        out = np.zeros(len(begin))
+        walk = self.steps(begin, end, direction)
+        step = next(walk, None)
+        while step:
+            rows, ratios, _, _ = step
+            out[rows] += ratios.sum(1)
+            try:
+                step = walk.send(np.zeros(len(rows), bool))
+            except StopIteration:
+                break
+        return out
+
+    def mode(self) -> np.ndarray:
+        odds = np.exp(self.odds)
+        a, b, c = odds - 1.0, -((self.n1 + self.n2 + 2.0) * odds + self.rest), (self.n1 + 1.0) * (self.n2 + 1.0) * odds
+        root = np.sqrt(np.maximum(b * b - 4 * a * c, 0.0))
+        return np.clip(np.floor(2 * c / (root - b)), self.low, self.high).astype(np.int64)
+
+
+def upper_tails(n: np.ndarray, n1: np.ndarray, n2: np.ndarray, total: np.ndarray, odds: np.ndarray, min_omega: float = MIN_OMEGA) -> np.ndarray:
+    """P(X >= n) of each row; 1 for n = 1 by definition of the test."""
+    if len(n) and max(n1.max(), n2.max(), total.max()) > INT32:
+        raise OverflowError("margins beyond 2^31-1 can't be tested")
+    every = Margins(n1, n2, total, np.maximum(odds, min_omega))
+    out = np.where((n == 1) | (n <= every.low), 1.0, 0.0)
+    open_ = np.flatnonzero((out == 0) & (n <= every.high))
+    if not len(open_):
+        return out
+    n, m = n[open_], Margins(n1[open_], n2[open_], total[open_], np.maximum(odds[open_], min_omega))
+    mode = m.mode()
+    whole = 1.0 + m.sums(mode, m.high, 1) + m.sums(mode, m.low, -1)
+    right = n > mode
+    # right of the mode: in units of f(n); left of it the tail is large: take what is below n away from it
+    from_n = 1.0 + m.sums(n, np.where(right, m.high, n), 1)
+    below = 1.0 + m.sums(n - 1, np.where(right, n - 1, m.low), -1)
+    at_n = m.log_between(mode, np.where(right, n, mode), 1) + m.log_between(mode, np.where(right, mode, n - 1), -1)
+    with np.errstate(divide="ignore"):
+        out[open_] = np.where(right, np.exp(at_n + np.log(from_n) - np.log(whole)), np.clip(1.0 - np.exp(at_n) * below / whole, 0.0, 1.0))
+    return out
 
 
 def upper_tail(n: int, n1: int, n2: int, total: int, odds: float, min_omega: float = MIN_OMEGA) -> float:
-    """P(X >= n); 1 for n = 1 by definition of the test."""
-    if n1 > INT32 or n2 > INT32 or total > INT32:
-        raise OverflowError("margins beyond 2^31-1 can't be tested")
-    if n == 1:
-        return 1.0
-    odds = max(odds, min_omega)
-    low, high, rest = max(0, n1 + n2 - total), min(n1, n2), total - n1 - n2
-    if n <= low:
-        return 1.0
-    if n > high:
-        return 0.0
-    m = mode(n1, n2, total, odds)
-    whole = _sum_up(m, high, n1, n2, rest, odds) + _sum_down(m, low, n1, n2, rest, odds)
-    if n > m:
-        # f(n)/f(m), as a sum of logs in stretches
-        log_f = 0.0
-        for at in range(m, n, 1 << 16):
-            x = np.arange(at + 1, min(at + (1 << 16), n) + 1, dtype=np.float64)
-            log_f += float(_log_ratios(x, n1, n2, rest, odds).sum())
-        return float(np.exp(log_f + np.log(_sum_up(n, high, n1, n2, rest, odds)) - np.log(whole)))
-    # left of the mode the tail is large: take what is below n away from it
-    log_f = 0.0
-    for at in range(n - 1, m, 1 << 16):
-        x = np.arange(at + 1, min(at + (1 << 16), m) + 1, dtype=np.float64)
-        log_f -= float(_log_ratios(x, n1, n2, rest, odds).sum())
-    below = np.exp(log_f) * (1.0 + _sum_down(n - 1, low, n1, n2, rest, odds))
-    return float(min(1.0, max(0.0, 1.0 - below / whole)))
+    """upper_tails of one row."""
+    return float(upper_tails(*(np.array([v], np.int64) for v in (n, n1, n2, total)), np.array([odds], np.float64), min_omega)[0])
 
 
 def _tails(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
     for batch in batches:
-        columns = [c.to_pylist() for c in batch]
-        yield pa.array([None if None in row else upper_tail(*row) for row in zip(*columns)], pa.float64())
+        table = pa.table(list(batch), names=["n", "n1", "n2", "total", "odds"])
+        # counts are small integers and trans rows share their odds, so many rows have equal arguments
+        each = table.drop_null().group_by(table.column_names).aggregate([])
+        found = upper_tails(*(each[c].to_numpy().astype(np.float64 if c == "odds" else np.int64) for c in table.column_names))
+        place = table.append_column("row", pa.array(range(len(table)), pa.int64()))
+        joined = place.join(each.append_column("p", pa.array(found)), table.column_names).sort_by("row")
+        yield joined["p"].combine_chunks()
 
 
 def fnch_tail(n: Column, n1: Column, n2: Column, total: Column, odds: Column) -> Column:

@@ -112,9 +112,11 @@ class Genome:
         return sum(self.bins(a) + (self.bins(b) if a != b else 0) for a, b in self.pairs(kind))
 
 
-def maybe_broadcast(df: DataFrame, most_rows: int, row_bytes: int = 64) -> DataFrame:
-    """df, to be broadcast if its proven largest size allows; else the planner decides."""
-    return F.broadcast(df) if most_rows * row_bytes <= BROADCAST_BYTES else df
+def maybe_broadcast(df: DataFrame, most_rows: int, row_bytes: int = 64, settled: bool = False) -> DataFrame:
+    """df, to be broadcast if its proven largest size allows, or if it is settled and its count does; else the planner decides."""
+    allowed = BROADCAST_BYTES // row_bytes
+    small = most_rows <= allowed or (settled and df.limit(allowed + 1).count() <= allowed)
+    return F.broadcast(df) if small else df
 
 
 @dataclass(frozen=True)

@@ -30,20 +30,20 @@ def select_chroms(domains: DataFrame, chrom1: str | None, chrom2: str | None = N
     return domains.where((F.col("chrom1") == chrom1) & (F.col("chrom2") == (chrom2 or chrom1)))
 
 
-def domain_product(domains: DataFrame, genome: Genome, kind: str = "all") -> DataFrame:
+def domain_product(domains: DataFrame, genome: Genome, kind: str = "all", tiles: int = 64) -> DataFrame:
     """All pairs of distinct intervals of the upper triangle, with themselves: chrom1 ... end2.
 
-    Intervals are ordered by chromosome id, start and end; the output is the work, so it
-    is a join of the intervals with themselves by chromosome pair, which spreads over
-    tasks by both intervals' chromosomes.
+    Intervals are ordered by chromosome id, start and end. The output is the work, so first
+    intervals are dealt to tiles and second ones copied to each: pairs of chromosomes, of
+    which there may be one, spread over as many tasks.
     """
     rows = distinct_domains(known_only(domains, genome)).withColumn("id", genome.id_of(F.col("chrom")))
-    left = rows.select(F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("end").alias("end1"), F.col("id").alias("id1"))
-    right = rows.select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("id").alias("id2"))
+    left = rows.select(F.col("chrom").alias("chrom1"), F.col("start").alias("start1"), F.col("end").alias("end1"), F.col("id").alias("id1"), F.pmod(F.xxhash64("chrom", "start", "end"), F.lit(tiles)).cast("int").alias("tile"))
+    right = rows.select(F.col("chrom").alias("chrom2"), F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("id").alias("id2"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
     if kind == "cis":
-        return left.join(right, (F.col("id1") == F.col("id2")) & (F.struct("start1", "end1") <= F.struct("start2", "end2"))).select(*COORDINATES)
+        return left.join(right, (left["tile"] == right["tile"]) & (F.col("id1") == F.col("id2")) & (F.struct("start1", "end1") <= F.struct("start2", "end2"))).select(*COORDINATES)
     pairs = genome.pair_table(domains.sparkSession, kind).select(*PAIR)
-    joined = left.join(F.broadcast(pairs), "chrom1").join(right, "chrom2")
+    joined = left.join(F.broadcast(pairs), "chrom1").join(right, ["chrom2", "tile"])
     ordered = (F.col("chrom1") != F.col("chrom2")) | (F.struct("start1", "end1") <= F.struct("start2", "end2"))
     return joined.where(ordered).select(*COORDINATES)
 
@@ -95,16 +95,22 @@ def overlap_sums(pixels: DataFrame, domains: DataFrame, genome: Genome, **sums:
 
 def coverage(domains: DataFrame, genome: Genome, block: int = 100_000) -> DataFrame:
     """(chrom1, chrom2, covered, blocks, coverage): the share of block-wide cells of the upper
-    triangle that a domain, or its mirror image, touches; pairs without domains are left out."""
+    triangle that a domain, or its mirror image, touches; pairs without domains are left out.
+
+    A domain has a row for each line of cells it touches, an interval; the cells of a line
+    are the union of its intervals, found by a running maximum.
+    """
     width = F.lit(max(block, genome.resolution)).cast("long")
-    spans = domains.select(
-        *PAIR,
-        F.floor(F.col("start1") / width).alias("lo1"), F.floor((F.col("end1") - 1) / width).alias("hi1"),
-        F.floor(F.col("start2") / width).alias("lo2"), F.floor((F.col("end2") - 1) / width).alias("hi2"),
-    )
-    cells = spans.select(*PAIR, F.explode(F.sequence("lo1", "hi1")).alias("x"), "lo2", "hi2").select(*PAIR, "x", F.explode(F.sequence("lo2", "hi2")).alias("y"))
-    upper = cells.select(*PAIR, F.when(is_cis(), F.least("x", "y")).otherwise(F.col("x")).alias("x"), F.when(is_cis(), F.greatest("x", "y")).otherwise(F.col("y")).alias("y"))
-    touched = upper.distinct().groupBy(*PAIR).agg(F.count(F.lit(1)).alias("covered"))
+    side = lambda k: [F.floor(F.col(f"start{k}") / width).alias(f"lo{k}"), F.floor((F.col(f"end{k}") - 1) / width).alias(f"hi{k}")]
+    spans = domains.select(*PAIR, *side(1), *side(2)).distinct()
+    # a row of cells for each x, from lo to hi; within a chromosome also of the mirror image, above the diagonal
+    line = lambda x, y: F.struct(F.col(f"lo{x}").alias("first"), F.col(f"hi{x}").alias("last"), F.col(f"lo{y}").alias("lo"), F.col(f"hi{y}").alias("hi"))
+    views = spans.select(*PAIR, F.explode(F.when(is_cis(), F.array(line(1, 2), line(2, 1))).otherwise(F.array(line(1, 2)))).alias("v"))
+    lines = views.select(*PAIR, F.explode(F.sequence("v.first", "v.last")).alias("x"), "v.lo", "v.hi")
+    lines = lines.withColumn("lo", F.when(is_cis(), F.greatest("lo", "x")).otherwise(F.col("lo"))).where("lo <= hi")
+    before = W.partitionBy(*PAIR, "x").orderBy("lo", "hi").rowsBetween(W.unboundedPreceding, -1)
+    new = F.col("hi") - F.greatest(F.col("lo"), F.coalesce(F.max("hi").over(before) + 1, F.col("lo"))) + 1
+    touched = lines.select(*PAIR, F.greatest(new, F.lit(0)).alias("new")).groupBy(*PAIR).agg(F.sum("new").alias("covered"))
     n1, n2 = (F.ceil(genome.size_of(F.col(c)) / width) for c in PAIR)
     blocks = F.when(is_cis(), (n1 * (n1 + 1) / 2).cast("long")).otherwise(n1 * n2)
     return touched.select(*PAIR, "covered", blocks.alias("blocks"), (F.col("covered") / blocks).alias("coverage"))

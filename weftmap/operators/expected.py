@@ -36,12 +36,23 @@ class Expected:
         return replace(self, **{k: settle(part, most, k) for k, most in bounds.items() if (part := getattr(self, k)) is not None})
 
 
+def contacts_by_distance(cis: DataFrame) -> DataFrame:
+    """(chrom, d, n): contacts of each chromosome at each distance; of a table that is this already, itself.
+
+    One scan of the pixels gives the profile and the sums of chromosomes. NaNs count as 0.
+    """
+    if "d" in cis.columns:
+        return cis
+    n = F.nanvl(F.col("n"), F.lit(0.0)) if dict(cis.dtypes)["n"] in ("double", "float") else F.col("n")
+    return cis.groupBy(F.col("chrom1").alias("chrom"), (F.col("b2") - F.col("b1")).alias("d")).agg(F.sum(n).alias("n"))
+
+
 def observed_by_distance(cis: DataFrame) -> DataFrame:
-    return cis.groupBy((F.col("b2") - F.col("b1")).alias("d")).agg(F.sum("n").alias("obs"))
+    return contacts_by_distance(cis).groupBy("d").agg(F.sum("n").alias("obs"))
 
 
 def sums_by_chrom(cis: DataFrame) -> DataFrame:
-    return cis.groupBy(F.col("chrom1").alias("chrom")).agg(F.sum("n").alias("cis_sum"))
+    return contacts_by_distance(cis).groupBy("chrom").agg(F.sum("n").alias("cis_sum"))
 
 
 def possible_by_distance(chroms: DataFrame, genome: Genome) -> DataFrame:
@@ -183,12 +194,13 @@ def expected_values(pixels: DataFrame, genome: Genome, params: Params, user_mask
     mask = settle(bin_mask(scan_kind(pixels, kind), genome, params.mad_max, user_mask, kind), genome.side_rows(kind), "mask")
     weights = scaling = trans = None
     if kind != "trans":
-        cis = usable(scan_kind(pixels, "cis"), genome, params.min_delta, params.max_delta, mask)
+        cis = usable(scan_kind(pixels, "cis"), genome, params.min_delta, params.max_delta, mask, settled=True)
+        cis = settle(contacts_by_distance(cis), sum(map(genome.bins, genome.ids)), "distances")
         profile = settle(raw_profile(cis, genome), genome.longest, "profile")
         weights = settle(repaired_weights(profile, params, genome), genome.longest, "weights")
         scaling = settle(scaling_factors(weights, cis, genome), len(genome.chroms), "scaling")
     if kind != "cis":
-        trans = usable(scan_kind(pixels, "trans"), genome, 0, params.max_delta, mask)
+        trans = usable(scan_kind(pixels, "trans"), genome, 0, params.max_delta, mask, settled=True)
         trans = settle(trans_averages(trans, genome), len(genome.pairs("trans")), "trans")
     return Expected(params, weights, scaling, trans, mask)
 

@@ -76,17 +76,20 @@ def in_band(genome: Genome, min_delta: int, max_delta: int) -> Column:
         band = band & (distance(genome) < F.lit(max_delta).cast("long"))
     return ~is_cis() | band
 
-def drop_masked(pixels: DataFrame, mask: DataFrame | None, genome: Genome) -> DataFrame:
-    """Pixels of which neither bin is masked. mask: chrom1, chrom2, side (1 or 2), b; one's own pairs have side 1 alone."""
+def drop_masked(pixels: DataFrame, mask: DataFrame | None, genome: Genome, settled: bool = False) -> DataFrame:
+    """Pixels of which neither bin is masked. mask: chrom1, chrom2, side (1 or 2), b; one's own pairs have side 1 alone.
+
+    settled: the mask is worked out already, so it may be counted; few bins are masked.
+    """
     if mask is None:
         return pixels
     most = genome.side_rows()
     first = mask.where("side = 1").select("chrom1", "chrom2", F.col("b").alias("b1"))
     own = (F.col("side") == 2) | ((F.col("chrom1") == F.col("chrom2")) & (F.col("side") == 1))
     second = mask.where(own).select("chrom1", "chrom2", F.col("b").alias("b2"))
-    kept = pixels.join(maybe_broadcast(first, most), ["chrom1", "chrom2", "b1"], "left_anti")
-    return kept.join(maybe_broadcast(second, most), ["chrom1", "chrom2", "b2"], "left_anti").select(*pixels.columns)
+    kept = pixels.join(maybe_broadcast(first, most, settled=settled), ["chrom1", "chrom2", "b1"], "left_anti")
+    return kept.join(maybe_broadcast(second, most, settled=settled), ["chrom1", "chrom2", "b2"], "left_anti").select(*pixels.columns)
 
-def usable(pixels: DataFrame, genome: Genome, min_delta: int, max_delta: int, mask: DataFrame | None = None) -> DataFrame:
+def usable(pixels: DataFrame, genome: Genome, min_delta: int, max_delta: int, mask: DataFrame | None = None, settled: bool = False) -> DataFrame:
     """In band and not masked: what statistics are made of."""
-    return drop_masked(pixels.where(in_band(genome, min_delta, max_delta)), mask, genome)
+    return drop_masked(pixels.where(in_band(genome, min_delta, max_delta)), mask, genome, settled)

@@ -1,7 +1,8 @@
 """compute: a p-value for each pixel, or for each domain.
 
-One plan for all pairs of chromosomes. The pixels are scanned for the masks, the profile,
-all marginals and totals (observed and expected together), and the test. What a scan
+One plan for all pairs of chromosomes. The pixels are scanned four times: for the masks,
+for the expected values (those of one chromosome for the profile, the others for means),
+for all marginals and totals (observed and expected together), and for the test. What a scan
 gathers is bounded by the genome, not by the pixels; it is worked out once, and then
 joined to the next scan. Only the last scan is left to the caller's action.
 """
@@ -70,7 +71,7 @@ def compute(
     pixels = scan_kind(pixels, kind)
     expected = expected or expected_values(pixels, genome, params or Params(), user_mask, kind)
     params = params or expected.params
-    used = usable(pixels, genome, params.min_delta, params.max_delta, expected.mask)
+    used = usable(pixels, genome, params.min_delta, params.max_delta, expected.mask, settled=True)
     margins = _margins(used, expected, genome)
     sums = totals_of_marginals(margins, total="m", exp_total="lm")
     most = genome.side_rows(kind)
@@ -103,7 +104,7 @@ def compute_domains(
     pixels, domains = scan_kind(pixels, kind), scan_kind(domains, kind)
     expected = expected or expected_values(pixels, genome, params or Params(), user_mask, kind)
     params = params or expected.params
-    used = usable(pixels, genome, params.min_delta, params.max_delta, expected.mask)
+    used = usable(pixels, genome, params.min_delta, params.max_delta, expected.mask, settled=True)
     margins = _margins(used, expected, genome)
     sums = totals_of_marginals(margins, total="m", exp_total="lm")
     counted = overlap_sums(with_expected(used, expected, genome), domains, genome, n="n", ex="ex")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..model import Genome
 from ..operators.domains import linear_order
-from ..sources.results import read_results, record_type
+from ..sources.results import check_compatible, read_results, record_type
 
 
 def merge_results(tables: list[DataFrame], genome: Genome, sort: bool = True) -> DataFrame:
@@ -20,6 +21,10 @@ def merge_results(tables: list[DataFrame], genome: Genome, sort: bool = True) ->
 
 
 def merge_files(spark: SparkSession, paths: list[str], genome: Genome, sort: bool = True) -> DataFrame:
-    """The same for files; they are read as one table, so their number doesn't deepen the plan."""
+    """The same for files; they are read as one table, so their number doesn't deepen the plan.
+
+    Single files are held against each other first: record type and chromosomes.
+    """
+    check_compatible([p for p in paths if Path(p).is_file()])
     rows = read_results(spark, paths)
     return rows.orderBy(*linear_order(genome)) if sort else rows

@@ -108,8 +108,44 @@ def rounded(rows: DataFrame) -> DataFrame:
     return rows.select(*COORDINATES, "observed_count", r("expected_count"), r("log_ratio"), r("odds_ratio"), r("omega"), *p)
 
 
-def _chain(s: str, base: str, mask: str | None) -> str:
-    """Expressions from usable pixels to p-values; s ends the names. mask: an expression with chrom1, chrom2, side, b."""
+def _repaired(s: str, params: Params, bins: int = 60) -> str:
+    """The profile prof, repaired step by step as the lists' elements are walked."""
+    arm, quantile = -(-params.window // GENOME.resolution) // 2, params.quantile
+    sums = lambda a: (f"list_sum(pos[i - {a} + 1:i + {a} + 1])", f"list_sum(obs[i - {a} + 1:i + {a} + 1])")
+    met = " and ".join(f"{x} >= {cut}" for x, cut in zip(sums("a"), (params.possible_cutoff, params.observed_cutoff)))
+    p, o = sums("arm")
+    put = lambda c, x: f"case when {p} >= {params.possible_cutoff} or {o} >= {params.observed_cutoff} then {c}[1:i] || [{x} / (2 * arm + 1)] || {c}[i + 2:{bins}] else {c} end"
+    frame = f"list_sort(list_filter(w[i - {arm} + 1:i + {arm} + 1], lambda v: v is not null))"
+    smoothed = f"""
+    smooth{s}(i, w) as (
+        select {arm}, w from weight{s}
+        union all
+        select i + 1, case when w[i + 1] > f[cast(trunc({quantile} * (len(f) - 1)) as bigint) + 1] then w[1:i] || [list_aggregate(f, 'median')] || w[i + 2:{bins}] else w end
+        from (select *, {frame} as f from smooth{s} where i < {bins - arm})),
+    last{s} as (select w from smooth{s} where i = {bins - arm}),""" if params.interpolate else f"last{s} as (select w from weight{s}),"
+    return f"""
+    raw{s} as (
+        select list(coalesce(obs, 0)::double order by r.d) as obs, list(coalesce(possible, 0)::double order by r.d) as pos
+        from (select unnest(range({bins})) as d) r left join obsd{s} o on o.d = r.d left join poss{s} p on p.d = r.d),
+    ends{s} as (select *, list_filter(range({bins}), lambda x: obs[x + 1] <> 0) as there from raw{s}),
+    pool{s}(i, pos, obs, stop) as (
+        select there[1], pos, obs, 0::bigint from ends{s}
+        union all
+        select i + 1, {put('pos', p)}, {put('obs', o)}, case when {p} >= {params.possible_cutoff} or {o} >= {params.observed_cutoff} then i + arm + 1 else stop end
+        from (select *, coalesce(list_min(list_filter(range(least(i, {bins - 1} - i) + 1), lambda a: {met})), least(i, {bins - 1} - i)) as arm from pool{s} where i < {bins})),
+    weight{s} as (
+        select list_transform(range({bins}), lambda x: case when x < least(stop, case when there[-1] = {bins - 1} then {bins} else there[-1] + 2 end) and p.obs[x + 1] <> 0 and p.pos[x + 1] <> 0 then p.obs[x + 1] / p.pos[x + 1] end) as w
+        from pool{s} p, ends{s} where i = {bins}),
+    {smoothed}
+    prof{s} as (select * from (select unnest(range({bins})) as d, unnest(w) as w from last{s}) where w is not null)"""
+
+
+def _chain(s: str, base: str, mask: str | None, params: Params | None = None) -> str:
+    """Expressions from usable pixels to p-values; s ends the names. mask: an expression with chrom1, chrom2, side, b.
+
+    params: of the profile's repair; without them there is none.
+    """
+    plain = f"prof{s} as (select o.d, o.obs / p.possible as w from obsd{s} o join poss{s} p on o.d = p.d where o.obs > 0 and p.possible > 0)"
     drop = "" if mask is None else f"""
         where not exists (select 1 from {mask} m where m.chrom1 = p.chrom1 and m.chrom2 = p.chrom2 and m.side = 1 and m.b = p.b1)
           and not exists (select 1 from {mask} m where m.chrom1 = p.chrom1 and m.chrom2 = p.chrom2 and m.side = case when p.chrom1 = p.chrom2 then 1 else 2 end and m.b = p.b2)"""
@@ -118,7 +154,7 @@ def _chain(s: str, base: str, mask: str | None) -> str:
     obsd{s} as (select b2 - b1 as d, cast(sum(n) as bigint) as obs from use{s} where chrom1 = chrom2 group by 1),
     cis{s} as (select chrom1 as chrom, cast(sum(n) as bigint) as cis_sum from use{s} where chrom1 = chrom2 group by 1),
     poss{s} as (select d, cast(sum(fb - d) as bigint) as possible from (select fb, unnest(range(fb)) as d from chroms where chrom in (select chrom from cis{s})) group by d),
-    prof{s} as (select o.d, o.obs / p.possible as w from obsd{s} o join poss{s} p on o.d = p.d where o.obs > 0 and p.possible > 0),
+    {_repaired(s, params) if params else plain},
     sf{s} as (select c.chrom, sum((c.fb - p.d) * p.w) / any_value(s.cis_sum) as sf from chroms c join cis{s} s on c.chrom = s.chrom join prof{s} p on p.d < c.fb group by c.chrom),
     tavg{s} as (select p.chrom1, p.chrom2, coalesce(sum(u.n) / count(u.n), 0.0) as avg from pairs p left join use{s} u on p.chrom1 = u.chrom1 and p.chrom2 = u.chrom2 where p.chrom1 <> p.chrom2 group by 1, 2),
     ex{s} as (
@@ -162,7 +198,7 @@ def _tests(s: str, rows: str) -> str:
 
 
 COMMON = f"""
-with chroms(cid, chrom, size, nb, fb) as (values (0, 'chr_a', 595000, 60, 59), (1, 'chr_b', 450000, 45, 45), (2, 'chr_c', 297500, 30, 29)),
+with recursive chroms(cid, chrom, size, nb, fb) as (values (0, 'chr_a', 595000, 60, 59), (1, 'chr_b', 450000, 45, 45), (2, 'chr_c', 297500, 30, 29)),
     l1 as (select cast(l_partkey as bigint) % 3 as c1, cast(l_partkey as bigint) // 3 as p3, cast(l_quantity as bigint) as q from lineitem),
     l2 as (select c1, p3 % nb as b1, p3 % nb + (q * q * nb) // 2500 as raw, nb from l1 join chroms on cid = c1),
     l3 as (select c1, b1, case when raw < l2.nb then c1 else (c1 + 1) % 3 end as c2, case when raw < l2.nb then raw else (raw - l2.nb) % k.nb end as b2 from l2 join chroms k on k.cid = (c1 + 1) % 3),
@@ -361,14 +397,21 @@ def trans_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.trans_density(pixels.scan_kind(contacts(spark, sf_dir), "trans"), GENOME).select("chrom1", "chrom2", r("density"))
 
 
-@query()
+POOLED = Params(mad_max=0.0, min_delta=10_000, observed_cutoff=5_000.0, interpolate=False)
+_MAD5 = """
+    , mad5 as (
+        select chrom1, chrom2, side, b from sides
+        except select l.chrom1, l.chrom2, l.side, b from logs l join dev using (chrom1, chrom2, side) where x >= exp(dev.c - 5.0 * mad))"""
+_WEIGHTS = "select a.d, round(w, 6) + 0.0 as w from (select unnest(range(60)) as d) a left join prof{s} p on a.d = p.d"
+
+
+@query(f", {_chain('_p', 'band', None, POOLED)} {_WEIGHTS.format(s='_p')}")
 def low_cov_pooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each step of the repair needs the one before: tested against a plain restatement."""
-    params = Params(mad_max=0.0, min_delta=10_000, observed_cutoff=5_000.0, interpolate=False)
-    return ev.expected_values(pixel_table(spark, sf_dir), GENOME, params, kind="cis").weights.select("d", r("w"))
+    """Each step of the repair needs the one before."""
+    return ev.expected_values(pixel_table(spark, sf_dir), GENOME, POOLED, kind="cis").weights.select("d", r("w"))
 
 
-@query()
+@query(f"{_MAD5}, {_chain('_r', 'band', 'mad5', REPAIRED)} {_WEIGHTS.format(s='_r')}")
 def outlier_smoothing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.expected_values(pixel_table(spark, sf_dir), GENOME, REPAIRED, kind="cis").weights.select("d", r("w"))
 
@@ -424,7 +467,7 @@ def pvalue_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compute(pixel_table(spark, sf_dir), GENOME, RAW, kind="cis", kernel=fnch_tail_sql))
 
 
-@query()
+@query(f"{_MAD5}, {_chain('_r', 'band', 'mad5', REPAIRED)} select {_COORDS}, {_ROUNDED} from res_r")
 def compute_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With the mask, pooling and smoothing of the command's defaults."""
     return rounded(compute(pixel_table(spark, sf_dir), GENOME, REPAIRED))
@@ -650,3 +693,6 @@ def view_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cis contacts with corrected p-values, significant or not."""
     return filter_results(compute(pixel_table(spark, sf_dir), GENOME, REPAIRED, kind="cis"), keep_all=True)
+
+
+from . import io_queries  # noqa: E402, F401  registers its own, which use what is above

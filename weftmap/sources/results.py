@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import base64
-import itertools
 import json
 from dataclasses import asdict
 from datetime import datetime, timezone
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from ..functions.text import pair_of_file
 from ..model import COMPUTE_COLUMNS, COORDINATES, FILTER_COLUMNS, Genome, Params, ddl
 from ..operators.domains import linear_order
 from ..operators.expected import Expected
+from ..scratch import materialise, scratch
 
 #: What file metadata is filed under, and the version of the layout; older ones are refused.
 PREFIX, FORMAT_VERSION = "weftmap", 2
@@ -130,33 +132,69 @@ def file_schema(columns: tuple[str, ...]) -> pa.Schema:
 
 
 def export_file(rows: DataFrame, path: str, genome: Genome, metadata: str = "", codec: str = "zstd", level: int = 9) -> int:
-    """One sorted Parquet file on the driver with metadata, for exchange; the number of rows.
+    """One sorted Parquet file with metadata, for exchange; the number of rows.
 
-    Rows come a partition at a time and are written in batches, so memory stays bounded.
+    Executors sort the rows and write them to the shared folder; the driver then puts the
+    columns of these files into one, a batch at a time, so it never sees a row.
     """
     record_type(rows)
-    names = [n for _, n, _ in genome.real]
+    names = pa.array([n for _, n, _ in genome.real], pa.string())
     schema = file_schema(tuple(rows.columns)).with_metadata(pack_metadata(metadata))
     target, part, total = Path(path), Path(f"{path}.part"), 0
+    folder = scratch(rows.sparkSession, "export")
+    rows.orderBy(*linear_order(genome)).write.parquet(folder)
+    store, where = fs.FileSystem.from_uri(folder)
+    files = sorted(f.path for f in store.get_file_info(fs.FileSelector(where)) if f.path.endswith(".parquet"))
     try:
         sorting = [pq.SortingColumn(k) for k in range(len(COORDINATES))]
         with pq.ParquetWriter(part, schema, version="2.6", data_page_version="2.0", compression=codec, compression_level=level, sorting_columns=sorting) as out:
-            found = rows.orderBy(*linear_order(genome)).toLocalIterator()
-            while batch := list(itertools.islice(found, WRITE_BATCH)):
-                columns = []
-                for field, values in zip(schema, zip(*batch)):
-                    if pa.types.is_dictionary(field.type):
-                        columns.append(pa.DictionaryArray.from_arrays(pa.array([genome.ids[v] for v in values], pa.int32()), pa.array(names)))
-                    else:
-                        columns.append(pa.array(values, field.type))
-                out.write_table(pa.Table.from_arrays(columns, schema=schema), row_group_size=ROW_GROUP)
-                total += len(batch)
+            for file in files:
+                with store.open_input_file(file) as stream:
+                    for batch in pq.ParquetFile(stream).iter_batches(WRITE_BATCH, columns=schema.names):
+                        columns = []
+                        for field, values in zip(schema, batch.columns):
+                            if pa.types.is_dictionary(field.type):
+                                columns.append(pa.DictionaryArray.from_arrays(pc.index_in(values, names), names))
+                            else:
+                                columns.append(values.cast(field.type))
+                        out.write_table(pa.Table.from_arrays(columns, schema=schema), row_group_size=ROW_GROUP)
+                        total += len(batch)
         part.rename(target)
     finally:
         part.unlink(missing_ok=True)  # nothing unfinished is left behind
     return total
 
 
+def export_pairs(rows: DataFrame, folder: str, prefix: str, genome: Genome, metadata: str = "", **options) -> list[str]:
+    """A file prefix.CHROM1.CHROM2.parquet in a folder for each pair that has rows, in genome order; their paths."""
+    rows = materialise(rows, "pairs")
+    present = {tuple(r) for r in rows.select("chrom1", "chrom2").distinct().collect()}  # bounded by the genome
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    made = []
+    for a, b in (p for p in genome.pairs() if p in present):
+        made.append(str(Path(folder, f"{prefix}.{a}.{b}.parquet")))
+        export_file(rows.where((F.col("chrom1") == a) & (F.col("chrom2") == b)), made[-1], genome, metadata, **options)
+    return made
+
+
+def check_compatible(paths: list[str]) -> None:
+    """Refuse files of different record types, or made with different chromosomes, before they are put together.
+
+    Files without metadata are held to the columns alone.
+    """
+    first: dict[str, tuple[str, object]] = {}
+    for path in paths:
+        schema = pq.read_schema(path)
+        text = unpack_metadata(schema.metadata)
+        found = {"columns": tuple(schema.names), "chromosomes": list(json.loads(text).get("chromosomes", {}).items()) if text else None}
+        for what, value in found.items():
+            if value is None:
+                continue
+            if what in first and first[what][1] != value:
+                raise ValueError(f"{path} and {first[what][0]} have different {what}")
+            first.setdefault(what, (path, value))
+
+
 def pair_files(folder: str, prefix: str, genome: Genome) -> list[str]:
     """Files prefix.CHROM1.CHROM2.parquet that exist in a folder, in genome order, empty tables left out."""
     found = [Path(folder, f"{prefix}.{a}.{b}.parquet") for a, b in genome.pairs()]
