@@ -98,7 +98,8 @@ def stretches(formatted: Column) -> Column:
 def text_of(stretch: Column) -> Column:
     """What a turn said: its stretch without the control strings and the role before it, unescaped."""
     is_next = F.startswith(stretch, F.lit(NEXT))
-    head = F.when(is_next, F.lit(len(NEXT))).otherwise(F.char_length(F.substring_index(stretch, "\n", F.when(F.startswith(stretch, F.lit(END)), 2).otherwise(1))) + 1)
+    head_line = F.when(F.startswith(stretch, F.lit(END)), F.substring_index(stretch, "\n", 2)).otherwise(F.substring_index(stretch, "\n", 1))
+    head = F.when(is_next, F.lit(len(NEXT))).otherwise(F.char_length(head_line) + 1)
     return unescape(F.substring(stretch, head + 1, F.lit(2**31 - 1)))
 
 
