@@ -311,6 +311,20 @@ def test_bpe(docs, none, texts):
     assert bpe.encode_docs(none, BYTE).count() == 0
 
 
+def test_neighbours_against_merging():
+    """Whether two tokens may stand side by side, by their borders and by merging their joined bytes."""
+    b, r = bpe.TrieBpe(BYTE), random.Random(3)
+    ids = sorted(b.ids.values())
+    short = [i for i in ids if len(b.pieces[i]) <= 3]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(4000)] + [(r.choice(short), r.choice(short)) for _ in range(4000)]
+    pairs += [(b.ids[x], b.ids[y]) for x, y in r.sample(sorted(b.ranks), 4000)]
+    for c in (b" ", b"a", b"-", b"\n", b"0"):
+        runs = [b.ids[c * k] for k in range(1, 70) if c * k in b.ids]
+        pairs += [(x, y) for x in runs for y in runs]
+    for x, y in pairs:
+        assert b.compatible(x, y) == (b.merge(b.pieces[x] + b.pieces[y]) == [b.pieces[x], b.pieces[y]])
+
+
 def test_bpe_small_cache_and_cut_characters():
     t, b = Tokenizer.from_file(BYTE), bpe.TrieBpe(BYTE, cache_units=20)
     r = random.Random(6)

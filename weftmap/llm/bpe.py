@@ -36,10 +36,12 @@ from .common import ship
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Stands for the token before the first one.
 START = 1 << 19
+#: The rank of a merge that doesn't happen.
+NEVER = 1 << 60
 #: Marks that are words of their own after letters.
 _MARKS = frozenset(".,;:!?")
 CACHE_UNITS = 900_000
-ROWS = 256
+ROWS = 1024
 
 
 def byte_symbols() -> dict[str, int]:
@@ -75,6 +77,13 @@ class TrieBpe:
         self.pieces = {i: b for b, i in self.ids.items()} | {i: t.encode() for t, i in self.special.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
+        self.pair_ranks = {self.ids[a] << 20 | self.ids[b]: k for (a, b), k in self.ranks.items()}
+        # how a token is made: rank and parts; of several ways the first
+        self.made: dict[int, tuple[int, tuple[int, int]]] = {}
+        for (a, b), k in self.ranks.items():
+            self.made.setdefault(self.ids[a + b], (k, (self.ids[a], self.ids[b])))
+        self.spines: tuple[dict, dict] = ({}, {})
+        self.whole: dict[int, bool] = {}
         self.sizes = {i: len(b) for i, b in self.pieces.items()}
         self.codes = {i: i.to_bytes(4, "little") for i in self.pieces}
         self._automaton()
@@ -121,14 +130,55 @@ class TrieBpe:
                 self.fail[after] = self.step(self.fail[state], byte) if state else 0
                 row.append(after)
 
+    def spine(self, token: int, side: int) -> tuple[tuple[int, int], ...]:
+        """The parts at a token's first (side 0) or last (side 1) byte while it is merged, from the byte on,
+        each with the rank of the merge that ends it."""
+        known = self.spines[side].get(token)
+        if known is None:
+            parts, rank = [], NEVER
+            while token is not None:  # a part ends when the one it is a part of is made
+                parts.append((token, rank))
+                rank, parents = self.made.get(token, (NEVER, (None, None)))
+                token = parents[side]
+            known = tuple(reversed(parts))
+            self.spines[side][parts[0][0]] = known
+        return known
+
+    def is_whole(self, token: int) -> bool:
+        """Whether a token's bytes merge into it."""
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self.merge(self.pieces[token]) == [self.pieces[token]]
+        return known
+
     def compatible(self, left: int, right: int) -> bool:
-        """Whether two tokens may stand side by side; START on the left: whether one may stand first."""
+        """Whether two tokens may stand side by side; START on the left: whether one may stand first.
+
+        Both are merged from their bytes; the border between them holds if no two parts that
+        ever face each other across it could merge before one of them is merged on its own
+        side. Of merges of one rank the leftmost comes first.
+        """
         if len(self.fits) > 2_000_000:
             self.fits.clear()
-        a, b = b"" if left == START else self.pieces[left], self.pieces[right]
-        known = self.fits[left << 20 | right] = self.merge(a + b) == ([a, b] if a else [b])
+        known = self.is_whole(right) and (left == START or (self.is_whole(left) and self._border_holds(left, right)))
+        self.fits[left << 20 | right] = known
         return known
 
+    def _border_holds(self, left: int, right: int) -> bool:
+        ends, begins, pairs = self.spine(left, 1), self.spine(right, 0), self.pair_ranks
+        i = j = 0
+        while True:
+            (a, a_ends), (b, b_ends) = ends[i], begins[j]
+            rank = pairs.get(a << 20 | b, NEVER)
+            if rank < a_ends and rank <= b_ends and rank < NEVER:
+                return False
+            if a_ends == b_ends == NEVER:
+                return True
+            if a_ends <= b_ends:
+                i += 1
+            else:
+                j += 1
+
     def step(self, state: int, byte: int) -> int:
         """The longest token prefix that ends here, as a state of the automaton over all tokens."""
         go, fail = self.go, self.fail
