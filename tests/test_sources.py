@@ -1,6 +1,7 @@
 import json
 import math
 from decimal import Decimal
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
@@ -10,6 +11,7 @@ from weftmap.operators.expected import expected_values
 from weftmap.plans.merge import merge_files, merge_results
 from weftmap.plans.products import product
 from weftmap.plans.view import view
+from weftmap.scratch import discard, materialise
 from weftmap.sources import manifest, results, text
 from weftmap.sources.pixels import is_empty, read_pixel_text, read_pixels
 from weftmap.streaming.ingest import contacts_to_pixels, current_pixels, ingest
@@ -140,6 +142,12 @@ def test_pixels(spark, tmp_path):
         read_pixels(spark, str(tmp_path / "bad"), G)
 
 
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    kept, gone = (materialise(spark.range(9), "t") for _ in range(2))
+    discard(gone)
+    assert kept.count() == 9 and not Path(gone.weftmap_path).exists()
+
+
 def test_text_pixels(spark, tmp_path):
     path = tmp_path / "dump"
     path.write_text("chr2\t0\t10\tchr2\t30\t40\t5\r\nchr1\t20\tchr2\t10\t2\n\nchr2\t10\t20\tchr1\t20\t30\t1\nzz\t0\tchr1\t0\t9\n")

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a local one only where none is named."""
+    """The cluster's spark.checkpoint.dir; a folder of this machine only where none is named and all runs here."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="weftmap-")
         spark.sparkContext.setCheckpointDir(base)
@@ -35,7 +37,17 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, what)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weftmap_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialise made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.weftmap_path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def estimated_bytes(df: DataFrame) -> int:
