@@ -69,6 +69,18 @@ def test_stream_goes_on(spark, tmp_path):
     assert got == [(1, 11), (2, 10), (4, 12)]
 
 
+def test_groups_go_on_from_a_state(spark, tmp_path):
+    """Files added later join the groups of earlier ones; only their rows are put on record."""
+    docs, state = str(tmp_path / "docs"), str(tmp_path / "state")
+    texts = [["a b", "c", "ab"], ["c ", "d", " a  b "], ["ab", "e"]]
+    for k, some in enumerate(texts):
+        spark.createDataFrame([(10 * k + i, t) for i, t in enumerate(some)], "doc_id long, text string").coalesce(1).write.mode("append").parquet(docs)
+        found = exact_dedup.exact_groups(spark.read.parquet(docs), state=state).collect()
+        rows = [(10 * j + i, t) for j, ts in enumerate(texts[: k + 1]) for i, t in enumerate(ts)]
+        assert sorted((x["doc_id"], x["keep_id"], x["group_size"]) for x in found) == sorted(x[:3] for x in plain_groups(rows))
+        assert spark.read.parquet(f"{state}/records").count() == len(rows)
+
+
 def test_drop_rows(spark, docs):
     located = with_locator(docs)
     assert located.select("__wm_file", "__wm_row").distinct().count() == docs.count()

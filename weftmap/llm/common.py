@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import materialise, scratch  # noqa: F401  the operators take these from here
+from ..scratch import discard, materialise, scratch  # noqa: F401  the operators take these from here
 from ..scratch import ship as ship_package
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -120,6 +120,16 @@ def collisions(located: DataFrame, states: DataFrame, hot: DataFrame, hot_rows:
     return met.select("digest", "norm", "doc_id", "length", "file", "row")
 
 
+def known_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """The files whose rows are on record, a long each; None if there is no record yet."""
+    try:
+        return spark.read.parquet(path).select("file").distinct()
+    except Exception as error:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
 def exact_groups(
     docs: DataFrame,
     digest: Callable[[Column], Column] = sha256,
@@ -128,24 +138,32 @@ def exact_groups(
     files_per_batch: int = 10_000,
     hot_rows: int = HOT_ROWS,
     filter_bytes: int = MAX_BYTES,
+    state: str | None = None,
 ) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest, __wm_file, __wm_row): a row for each row of docs.
 
     digest: of a normalised text; any one gives right groups, as hits are compared in full.
     A digest of hot_rows rows, or a 50,000th of all, whichever is more, isn't dealt by its
     key alone; there are 50,000 of them at most, which bounds what is broadcast.
+
+    state: a folder, in the shared one, in which records and state outlive the call. Called
+    again with it and with docs to which files have been added, only the rows of these are
+    hashed, and the stream goes on; the groups are those of all rows.
     """
     spark = docs.sparkSession
     located = with_locator(docs.select(id_col, text_col))
-    path = scratch(spark, "dedup-records")
+    path = f"{state}/records" if state else scratch(spark, "dedup-records")
     all_rows = records(located, digest, id_col, text_col)
-    all_rows.write.parquet(path)
+    known = known_files(spark, path) if state else None
+    if known is not None:
+        all_rows = all_rows.join(F.broadcast(known), "file", "left_anti").select(*all_rows.columns)
+    all_rows.write.mode("append").parquet(path)
     rows = spark.read.schema(all_rows.schema).parquet(path)
     total = rows.count()
     if not total:
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", F.col("file").alias("__wm_file"), F.col("row").alias("__wm_row"))
-    out = scratch(spark, "dedup-states")
-    stream_states(spark, read_stream(spark, path, all_rows.schema, files_per_batch), scratch(spark, "dedup-stream"), out)
+    out, checkpoint = (f"{state}/states", f"{state}/checkpoint") if state else (scratch(spark, "dedup-states"), scratch(spark, "dedup-stream"))
+    stream_states(spark, read_stream(spark, path, all_rows.schema, files_per_batch), checkpoint, out)
     states = materialise(latest_states(spark, out), "dedup-final")
     hot_rows = hot_bound(total, hot_rows)
     hot = states.where(F.col("n") >= hot_rows)

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_ROWS, hot_bound, join_sized, materialise, ship
+from .common import HOT_ROWS, discard, hot_bound, join_sized, materialise, ship
 
 GAPS = re.compile(rb"[\x20\x09-\x0D]+")
 MAX_BITS = 2
@@ -213,7 +213,8 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         # small star: a node and its smaller neighbours go to the smallest of these
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = join_sized(large, low, "u", bound).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        current = materialise(small.where("u <> v").distinct(), "links")
+        before, current = current, materialise(small.where("u <> v").distinct(), "links")
+        discard(before, large)
         # stars only: no node is both a leaf and a root, and each leaf has one root
         roots = current.select(F.col("v").alias("u")).distinct()
         twice = current.groupBy("u").count().where("count > 1").select("u")
