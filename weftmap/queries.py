@@ -80,6 +80,21 @@ def pixel_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(contacts(spark, sf_dir), "pixels")
 
 
+def scaled_pixels(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Genome]:
+    """A matrix that grows with the tables, for measurements: as many bins as parts, and a pixel for nearly each
+    row of ``lineitem``, two thirds of them within a chromosome."""
+    bins = table(spark, sf_dir, "part").count()
+    genome = Genome((("chr_x", bins * 10_000), ("chr_y", (bins // 2 + 1) * 10_000)), 10_000)
+    rows = table(spark, sf_dir, "lineitem").selectExpr("cast(l_orderkey as bigint) % 3 as kind", f"cast(l_partkey as bigint) % {bins} as x", "cast(l_quantity as bigint) as q", "cast(l_suppkey as bigint) as s", "cast(l_linenumber as bigint) as n")
+    far = F.expr(f"(q * q * {bins}) div 5000 + s % 64")
+    own = F.col("kind") < 2
+    rows = rows.select(
+        F.lit("chr_x").alias("chrom1"), F.when(own, "chr_x").otherwise("chr_y").alias("chrom2"), F.col("x").alias("b1"),
+        F.when(own, F.least(F.col("x") + far, F.lit(bins - 1))).otherwise(far % (bins // 2 + 1)).alias("b2"), "n",
+    )
+    return rows.groupBy("chrom1", "chrom2", "b1", "b2").agg(F.sum("n").alias("n")), genome
+
+
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping intervals from nation: chrom, start, end."""
     rows = table(spark, sf_dir, "nation").select((F.col("n_nationkey") % 3).cast("int").alias("c"), (F.expr("n_nationkey div 3") * 50_000).alias("start"))
