@@ -30,17 +30,17 @@ def slot(key: Column, seed: int, i: int, bits: int) -> Column:
 
 
 def in_level(key: Column, level: Level) -> Column:
-    """Whether key may be among those a level was built from; null isn't."""
+    """Whether key, worked out once, may be among those a level was built from; null isn't."""
     bits = len(level.words) * 64
     # one literal, whatever its length
     words = F.split(F.lit(",".join(map(str, level.words))), ",").cast("array<bigint>")
 
-    def hits(held: Column) -> Column:
-        slots = [slot(key, level.seed, i, bits) for i in range(level.hashes)]
+    def hits(k: Column, held: Column) -> Column:
+        slots = [slot(k, level.seed, i, bits) for i in range(level.hashes)]
         # getbit counts from the lowest bit
         return reduce(lambda a, b: a & b, [F.getbit(F.get(held, F.shiftright(s, 6).cast("int")), (s % 64).cast("int")) == 1 for s in slots])
 
-    return key.isNotNull() & let(words, hits)
+    return let(key, lambda k: k.isNotNull() & let(words, lambda held: hits(k, held)))
 
 
 def level_bytes(n: int, bits_per_key: int) -> int:
