@@ -28,10 +28,13 @@ from pyspark.sql import functions as F
 from .bloom import MAX_BYTES, in_level, prefilter
 from .common import HOT_ROWS, hot_bound, join_sized, materialise, scratch, with_locator
 
-#: State on disk; without files allocated ahead, which would cost 4 MB for each partition of the state.
+#: State on disk; without files allocated ahead, which would cost 4 MB for each partition of the state, and with
+#: caches and buffers of all partitions of an executor bounded together.
 STATE_STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 
 

@@ -70,8 +70,7 @@ def mergeable(path: str) -> dict[bytes, int] | None:
     if not all(s in vocab and s + suffix in vocab and vocab[s] < 2 * len(symbols) > vocab[s + suffix] for s in symbols):
         return None
     end = WORD_END.encode()
-    inside = models.BPE(vocab, pairs)  # merges without marking the end of a word
-    whole = models.BPE(vocab, pairs, end_of_word_suffix=suffix)
+    inside, whole = models.BPE(vocab, pairs), load(path).model  # the first merges without marking the end of a word
     raw = lambda token: bytes(symbols[c] for c in token)
     found = {}
     for token, i in vocab.items():
