@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,14 @@ def ship(spark: SparkSession) -> None:
     ship_package(spark)
 
 
+def release() -> None:
+    """Give memory that a finished task no longer uses back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def file_backed(docs: DataFrame) -> DataFrame:
     """docs, if its rows come from files and so have a place; else docs written out and read again.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship
 
 UND = "und"
 ORDER = 3
@@ -259,6 +259,7 @@ def predictor_of(spark: SparkSession, counts: Counts):
                 names += n
                 scores += s
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["lang_pred", "score"])
+        release()
 
     return predict
 

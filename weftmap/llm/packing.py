@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship
 from .words import word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
@@ -79,6 +79,7 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2
                         ],
                         ["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"],
                     )
+        release()
 
     pieces = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, SCHEMA)
     return pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2("length").cast("int")})

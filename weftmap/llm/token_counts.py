@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, release, ship
 from .words import word_encoder
 
 BLOCK_IDS = 1 << 16
@@ -64,6 +64,7 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_ids: int =
                 del rest[:done]
         if rest:
             yield blocks([bytes(rest)])
+        release()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     both = materialise(chosen.mapInArrow(tokenize, "file long, block long, ids binary, ordinal long, doc_id long"), "flat")

@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from .bpe import byte_symbols
 
 #: Bytes of text that are worked on at once; a longer text is a stretch of its own.
-STRETCH_BYTES = 4 << 20
+STRETCH_BYTES = 2 << 20
 #: Longer parts go through the tokenizer, whose merging isn't quadratic.
 LONGEST = 256
 #: Stands for the end of a word in the byte-level encoder.
