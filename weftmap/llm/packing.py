@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import release, ship
-from .words import word_encoder
+from .words import mergeable, word_encoder
 
 SCHEMA = "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long"
 #: Pieces handed on at once.
@@ -56,9 +56,10 @@ def decompose(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2
     ids_crc32, doc_tokens, sequence_id, offset, bucket (log2 of the length)."""
     binary_lengths(0, longest)  # checks longest
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(mergeable(tokenizer) or {})  # the vocabulary, some 50,000 tokens
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_encoder(tokenizer)
+        encoder = word_encoder(tokenizer, ranks=shared.value)
         for batch in batches:
             for at, ids, bounds in encoder.encode_texts(batch.column(1), end_id):
                 counts = np.diff(bounds)

@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, release, ship
-from .words import word_encoder
+from .words import mergeable, word_encoder
 
 BLOCK_IDS = 1 << 16
 
@@ -40,9 +40,10 @@ def write_flat(docs: DataFrame, tokenizer: str, separator: int, block_ids: int =
     The separator's own string inside a text is ordinary text, so the id only ends documents.
     """
     ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(mergeable(tokenizer) or {})  # the vocabulary, some 50,000 tokens
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size = word_encoder(tokenizer, True), 4 * block_ids
+        encoder, size = word_encoder(tokenizer, True, shared.value), 4 * block_ids
         file, block, ordinal, rest = TaskContext.get().partitionId(), 0, 0, bytearray()
         names, kinds = ["file", "block", "ids", "ordinal", "doc_id"], [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         rows = lambda *columns: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)], names)

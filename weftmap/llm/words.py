@@ -103,11 +103,11 @@ def in_lines(parts: pa.Array, places: np.ndarray, border: str) -> str:
 class WordEncoder:
     """Encodes texts by a tokenizer whose words end at white space."""
 
-    def __init__(self, path: str, special_as_text: bool = False, stretch_bytes: int = STRETCH_BYTES):
-        self.tokenizer = load(path, special_as_text)
-        self.stretch_bytes = stretch_bytes
+    def __init__(self, path: str, special_as_text: bool = False, stretch_bytes: int = STRETCH_BYTES, ranks: dict[bytes, int] | None = None):
+        """ranks: what mergeable(path) gives, where that is known already; it takes more memory to make than to hold."""
+        self.path, self.special_as_text, self.stretch_bytes = path, special_as_text, stretch_bytes
         self.plain = None
-        ranks = mergeable(path)
+        ranks = mergeable(path) if ranks is None else ranks
         if ranks:
             import tiktoken
 
@@ -116,6 +116,11 @@ class WordEncoder:
             self.odd = rf"[^\x21-\x7E{LETTERS}]|<\|"
             self.words = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\n0-9{LETTERS}]+")
 
+    @property
+    def tokenizer(self):
+        """Loaded when the first part needs it."""
+        return load(self.path, self.special_as_text)
+
     def _plain_ids(self, marked: str) -> list[np.ndarray]:
         """Ids of lines, and their bounds, the words of which end in WORD_END."""
         ids = self.plain.encode_to_numpy(marked, disallowed_special=())
@@ -124,6 +129,8 @@ class WordEncoder:
         return np.delete(ids, borders), np.concatenate(([0], ends))
 
     def _by_tokenizer(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if not parts:
+            return np.empty(0, np.uint32), np.zeros(1, np.int64)
         found = [e.ids for at in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[at : at + 4096], add_special_tokens=False)]
         return np.array([i for ids in found for i in ids], np.uint32), np.concatenate(([0], np.cumsum(list(map(len, found)), dtype=np.int64)))
 
@@ -176,7 +183,12 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
 
-@lru_cache(4)
-def word_encoder(path: str, special_as_text: bool = False) -> WordEncoder:
+_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+
+
+def word_encoder(path: str, special_as_text: bool = False, ranks: dict[bytes, int] | None = None) -> WordEncoder:
     """One for each worker process, kept between tasks."""
-    return WordEncoder(path, special_as_text)
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(path, special_as_text, ranks=ranks)
+    return _ENCODERS[key]
