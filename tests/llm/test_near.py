@@ -8,6 +8,7 @@ import zlib
 import corpus_pipeline
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from weftmap.llm import similar
 from weftmap.llm.shingles import shingle_sets
@@ -123,6 +124,29 @@ def test_one_common_line_is_no_near_copy(spark):
     assert corpus_pipeline.near(spark, rows, "").count() == 6
 
 
+def test_golay_keys_link_close_copies(spark, monkeypatch):
+    """Close copies are linked by their fingerprints' keys; nothing is left for the set join to compare."""
+    r = random.Random(41)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(400)) for _ in range(20)]
+    rows = spark.createDataFrame(list(enumerate([*texts, *(t + " more" for t in texts)])), "doc_id long, text string").repartition(4)
+    compared = []
+    monkeypatch.setattr(similar, "similar", lambda pairs, *more: compared.append(pairs.count()) or pairs.where("false"))
+    assert sorted(r[0] for r in corpus_pipeline.near(spark, rows, "").collect()) == list(range(20))
+    assert compared == [0, 0]
+
+
+def test_fingerprint_links_are_confirmed_on_sets(spark, mixture, monkeypatch):
+    """Whatever the keys propose, only sets of a similarity of 0.8 or more link."""
+    every = lambda values: values.alias("x").join(values.alias("y"), F.col("x.node") < F.col("y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    monkeypatch.setattr(similar.simhash, "links", every)
+    monkeypatch.setattr(similar, "similar", lambda pairs, *more: pairs.where("false"))
+    texts = mixture[:60]
+    first = sorted({x: k for k, x in reversed(list(enumerate(plain_roots(texts))))}.values())
+    assert len(first) < len(texts)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r[0] for r in corpus_pipeline.near(spark, rows, "").collect()) == first
+
+
 def test_groups_are_known_by_more_than_an_id(spark):
     """Unrelated texts with null ids, and one id on two texts; copies of each still go."""
     r = random.Random(23)

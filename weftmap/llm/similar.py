@@ -1,9 +1,17 @@
-"""Near-duplicates by the similarity of shingle sets: a prefix-filtered set join, then components.
+"""Near-duplicates by SimHash and Golay-code keys, confirmed on shingle sets, and an exact join for the rest.
 
 Two texts link if the Jaccard similarity of their sets of shingles (as 64-bit hashes, see
-``shingles``) is 4/5 or more. All such pairs are found: in any order of
+``shingles``) is 4/5 or more.
+
+First the method of ``simhash``: fingerprints of the sets, in several tables, fuzzy keys of
+Golay codewords, buckets, pairs within 2 bits. Each of these pairs is confirmed on the two
+sets, so no fingerprint alone links texts; what links are left make components.
+
+Fingerprints of sets of that similarity may differ in more bits than a key allows, so the
+links not found that way are found by a prefix-filtered set join: in any order of
 all shingles, two sets of that similarity share one of their first ``n // 5 + 1`` shingles,
-n being the set's size. These are a set's keys; sets that share one are a bucket.
+n being the set's size. These are a set's keys; sets that share one are a bucket. Pairs
+that the fingerprints' links already connect aren't compared again.
 
 The order puts shingles met often last, so that a much used line or passage isn't a key
 unless a set has little else. Counts are taken in stretches of documents and only of what is
@@ -29,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_bound, join_sized, materialise, pick_rows, release, ship
+from . import simhash
+from .common import discard, hot_bound, join_sized, materialise, pick_rows, release, ship
 from .shingles import shingle_sets
 from .simhash import components
 
@@ -39,6 +48,8 @@ STRETCH, OFTEN, MAX_COMMON = 2 << 20, 3, 500_000
 LEAST_BITS = 1024
 #: Longs of short parities.
 SHORT = 4
+#: Fingerprints of a set.
+TABLES = 4
 
 
 def common_shingles(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
@@ -104,24 +115,26 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame, size: int, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """The columns named in keep and s, a struct: node (of the set), n, keys, bits, short (parities by 256)."""
+    """The columns named in keep and s, a struct: node (of the set), n, keys, bits, short (parities by 256), fps (a fingerprint for each table)."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, text_col))
 
-    @F.arrow_udf("node long, n long, keys array<long>, bits array<long>, short array<long>")
+    @F.arrow_udf("node long, n long, keys array<long>, bits array<long>, short array<long>, fps array<long>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import xxhash
 
         common, often = shared.value
         for batch in batches:
             node, n = np.empty(len(batch), np.uint64), np.empty(len(batch), np.int64)
+            fps = np.empty((len(batch), TABLES), np.uint64)
             keys, bits, short = [], [], []
             for row, hashes in enumerate(shingle_sets(batch, size)):
                 node[row], n[row] = xxhash.xxh64_intdigest(hashes.tobytes()), len(hashes)
                 keys.append(prefix(hashes, common, often).view(np.int64))
                 bits.append(parities(hashes))
                 short.append(np.bitwise_xor.reduce(bits[-1].reshape(-1, SHORT), axis=0))
-            columns = [pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits, short))]
-            yield pa.StructArray.from_arrays(columns, ["node", "n", "keys", "bits", "short"])
+                fps[row] = [simhash.majority(simhash.remix(hashes, k)) for k in range(TABLES)]
+            columns = [pa.array(node.view(np.int64)), pa.array(n), *(pa.array(x, pa.list_(pa.int64())) for x in (keys, bits, short, list(fps.view(np.int64))))]
+            yield pa.StructArray.from_arrays(columns, ["node", "n", "keys", "bits", "short", "fps"])
         release()
 
     return docs.select(*keep, of(F.col(text_col)).alias("s"))
@@ -146,18 +159,15 @@ def folded(bits: str, few):
     return F.when(F.size(bits) > few, halves).otherwise(F.col(bits))
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
-    """Those of pairs (a, b) of nodes whose sets have a similarity of 4/5 or more.
-
-    nodes: node, n, bits and the place of one row that has the set.
-    """
+def sized(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sizes allow a similarity of 4/5, with n_a and n_b."""
     x, y = (nodes.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
-    sized = pairs.join(x, "a").join(y, "b").where(compatible(F.col("n_a"), F.col("n_b")))
-    x, y = (nodes.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
-    few = F.least(F.size("bits_a"), F.size("bits_b"))
-    differing = F.zip_with(folded("bits_a", few), folded("bits_b", few), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
-    near = F.aggregate(differing, F.lit(0), lambda s, v: s + v) * 9 <= F.col("n_a") + F.col("n_b")
-    likely = materialise(sized.join(x, "a").join(y, "b").where(near).select("a", "b", "n_a", "n_b"), "near-likely")
+    return pairs.join(x, "a").join(y, "b").where(compatible(F.col("n_a"), F.col("n_b")))
+
+
+def alike(likely: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(a, b) of those of likely (a, b, n_a, n_b) whose sets have a similarity of 4/5 or more; written."""
+    likely = materialise(likely, "near-likely")
     wanted = materialise(likely.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "place.*"), "near-wanted")
 
     @F.arrow_udf("array<long>")
@@ -168,7 +178,45 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, text
     sets = materialise(pick_rows(docs, wanted).select("node", of(F.col(text_col)).alias("set")), "near-sets")
     x, y = (sets.select(F.col("node").alias(k), F.col("set").alias(f"set_{k}")) for k in "ab")
     shared = F.size(F.array_intersect("set_a", "set_b"))
-    return likely.join(x, "a").join(y, "b").where(shared * 9 >= (F.col("n_a") + F.col("n_b")) * 4).select("a", "b")
+    found = likely.join(x, "a").join(y, "b").where(shared * 9 >= (F.col("n_a") + F.col("n_b")) * 4).select("a", "b")
+    found = materialise(found, "near-links")
+    discard(likely, wanted, sets)
+    return found
+
+
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """Those of pairs (a, b) of nodes whose sets have a similarity of 4/5 or more; written.
+
+    nodes: node, n, bits and the place of one row that has the set.
+    """
+    x, y = (nodes.select(F.col("node").alias(k), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    few = F.least(F.size("bits_a"), F.size("bits_b"))
+    differing = F.zip_with(folded("bits_a", few), folded("bits_b", few), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    near = F.aggregate(differing, F.lit(0), lambda s, v: s + v) * 9 <= F.col("n_a") + F.col("n_b")
+    return alike(sized(pairs, nodes).join(x, "a").join(y, "b").where(near).select("a", "b", "n_a", "n_b"), nodes, docs, size, text_col)
+
+
+def fingerprint_links(nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
+    """(a, b): pairs of nodes with fingerprints within 2 bits in a table, found by Golay-code keys and confirmed on the sets; written.
+
+    nodes: node, n, fps and the place of one row that has the set. Equal fingerprints are made
+    one before keys; its nodes are paired with the smallest of them.
+    """
+    values = nodes.select("node", F.posexplode("fps").alias("tab", "value")).select("node", F.struct("tab", "value").alias("fp"))
+    firsts = materialise(values.groupBy("fp").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("many")), "near-fps")
+    several = firsts.where("many > 1")
+    same = join_sized(values, several, "fp", hot_bound(TABLES * nodes.count()), "many").where("node <> first").select(*ordered(F.col("node"), F.col("first")))
+    near = simhash.links(firsts.select(F.col("first").alias("node"), "fp.tab", "fp.value"))
+    pairs = same.union(near.select(*ordered(F.col("a"), F.col("b")))).distinct()
+    found = alike(sized(pairs, nodes), nodes, docs, size, text_col)
+    discard(firsts)
+    return found
+
+
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that aren't in one component of roots (node, root)."""
+    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def ordered(a, b) -> list:
@@ -178,13 +226,16 @@ def ordered(a, b) -> list:
 def links(nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
     """(a, b): pairs of nodes of a similarity of 4/5 or more that connect the same nodes as all such pairs.
 
-    nodes: node, n, keys, bits, short and the place of one row that has the set.
+    nodes: node, n, keys, bits, short, fps and the place of one row that has the set.
     """
+    found = fingerprint_links(nodes, docs, size, text_col)
     shared = materialise(buckets(nodes), "near-buckets")
-    stars = materialise(shared.where("node <> centre").select(*ordered(F.col("node"), F.col("centre"))).distinct(), "near-stars")
-    found = materialise(similar(stars, nodes, docs, size, text_col), "near-links")
+    stars = shared.where("node <> centre").select(*ordered(F.col("node"), F.col("centre"))).distinct()
+    stars = materialise(apart(stars, components(found)), "near-stars")
+    found = found.union(similar(stars, nodes, docs, size, text_col))
     members = shared.join(components(found), "node", "left").select("key", "node", "n", "centre", F.coalesce("root", "node").alias("part"))
     members = materialise(members, "near-members")
+    discard(shared)
     parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("key").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all"))
     # the two of a bucket of two have been compared
@@ -203,7 +254,7 @@ def near_groups(docs: DataFrame, size: int = 5, text_col: str = "text", keep: tu
     """One row per row of docs, which has locators: the columns named in keep, the locator, and root, its component's smallest node."""
     rows = materialise(with_keys(docs, size, text_col, (*keep, "__wm_file", "__wm_row")), "near-rows")
     place = F.min(F.struct("__wm_file", "__wm_row")).alias("place")
-    nodes = materialise(rows.groupBy("s.node").agg(F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.bits").alias("bits"), F.first("s.short").alias("short"), place), "near-nodes")
+    nodes = materialise(rows.groupBy("s.node").agg(F.first("s.n").alias("n"), F.first("s.keys").alias("keys"), F.first("s.bits").alias("bits"), F.first("s.short").alias("short"), F.first("s.fps").alias("fps"), place), "near-nodes")
     sizes = rows.groupBy("s.node").agg(F.count(F.lit(1)).alias("copies"))
     roots = components(links(nodes, docs, size, text_col))
     named = materialise(sizes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "copies"), "near-components")
