@@ -2,6 +2,7 @@ import hashlib
 import json
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
@@ -135,6 +136,16 @@ def test_word_encoder_in_small_stretches(texts):
     assert small.encode(None) == b"" and small.encode_all([]) == []
 
 
+def test_a_worker_keeps_one_operators_tables():
+    """A stage's tables aren't left in a worker for the stages after it."""
+    counts = langid.Counts(("en",), np.zeros(1, np.int64), np.array([ord("a")], np.uint32), np.ones(1))
+    model = weakref.ref(langid._model(counts))
+    assert langid._model(counts) is model()
+    encoder = weakref.ref(words.word_encoder(WORD))
+    assert words.word_encoder(WORD) is encoder() and model() is None
+    assert langid._model(counts) and encoder() is None
+
+
 def test_every_token_is_mergeable_or_left_out():
     """What the byte-level encoder rests on: a token's own bytes merge into it, by one pair only."""
     with open(WORD, encoding="utf-8") as file:

@@ -34,6 +34,21 @@ def release() -> None:
         trim(0)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make):
+    """What make() gives, kept by a worker process between tasks until another operator's tables are asked for.
+
+    Workers outlive a pipeline's stages, so what one stage leaves behind is memory the next lacks.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def file_backed(docs: DataFrame) -> DataFrame:
     """docs, if its rows come from files and so have a place; else docs written out and read again.
 

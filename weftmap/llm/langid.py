@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, ship
+from .common import kept, release, ship
 
 UND = "und"
 ORDER = 3
@@ -228,16 +228,10 @@ def learn(docs: DataFrame, sample_docs: int = 4000, sample_bytes: int = 16 << 20
     return Counts(languages, counted["lang"].to_numpy()[order].astype(np.int64), counted["gram"].to_numpy()[order].astype(np.uint32), counted["n"].to_numpy()[order].astype(np.float64))
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _model(counts: Counts) -> Model:
     """The tables for counts, kept by a worker process between tasks."""
     key = hash((counts.languages, counts.language.tobytes(), counts.gram.tobytes(), counts.n.tobytes()))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(counts)
-    return _MODELS[key]
+    return kept(("langid", key), lambda: Model(counts))
 
 
 def predictor(docs: DataFrame, sample_docs: int = 4000, sample_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):

@@ -27,6 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .bpe import byte_symbols
+from .common import kept
 
 #: Bytes of text that are worked on at once; a longer text is a stretch of its own.
 STRETCH_BYTES = 2 << 20
@@ -183,12 +184,6 @@ class WordEncoder:
         return self.encode_all([text])[0]
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
-
-
 def word_encoder(path: str, special_as_text: bool = False, ranks: dict[bytes, int] | None = None) -> WordEncoder:
     """One for each worker process, kept between tasks."""
-    key = (path, special_as_text)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(path, special_as_text, ranks=ranks)
-    return _ENCODERS[key]
+    return kept(("words", path, special_as_text), lambda: WordEncoder(path, special_as_text, ranks=ranks))
