@@ -124,6 +124,14 @@ def test_one_common_line_is_no_near_copy(spark):
     assert corpus_pipeline.near(spark, rows, "").count() == 6
 
 
+def test_buckets_of_the_same_nodes_are_paired_once(spark):
+    """Keys 1 to 3 have the same nodes; 4 one more, 5 two alone, 6 one component alone."""
+    part = {10: 10, 11: 10, 12: 12, 13: 13}
+    buckets = {1: (10, 11, 12), 2: (10, 11, 12), 3: (10, 11, 12), 4: (10, 11, 12, 13), 5: (12, 13), 6: (10, 11)}
+    members = spark.createDataFrame([(k, node, part[node]) for k, nodes in buckets.items() for node in nodes], "key long, node long, part long")
+    assert sorted(map(tuple, similar.divided(members).collect())) == [(1, 10, 3), (4, 10, 4)]
+
+
 def test_golay_keys_link_close_copies(spark, monkeypatch):
     """Close copies are linked by their fingerprints' keys; nothing is left for the set join to compare."""
     r = random.Random(41)

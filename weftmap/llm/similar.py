@@ -223,6 +223,20 @@ def ordered(a, b) -> list:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def divided(members: DataFrame) -> DataFrame:
+    """(key, main, all) of the buckets, of members (key, node, part), that hold several components and more than two nodes.
+
+    main is the largest component, all the number of nodes. Of buckets of the same nodes, as a
+    passage gives for each of its shingles, one stands for all: they give the same pairs.
+    """
+    same = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"same_{k}") for k in range(2)]
+    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"), *same)
+    whole = parts.groupBy("key").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all"), *(F.bit_xor(f"same_{k}").alias(f"same_{k}") for k in range(2)))
+    # the two of a bucket of two have been compared
+    whole = whole.where("all > 2 and m.size < all").select("key", F.col("m.part").alias("main"), "all", "same_0", "same_1")
+    return whole.groupBy("main", "all", "same_0", "same_1").agg(F.min("key").alias("key")).select("key", "main", "all")
+
+
 def links(nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFrame:
     """(a, b): pairs of nodes of a similarity of 4/5 or more that connect the same nodes as all such pairs.
 
@@ -236,10 +250,7 @@ def links(nodes: DataFrame, docs: DataFrame, size: int, text_col: str) -> DataFr
     members = shared.join(components(found), "node", "left").select("key", "node", "n", "centre", F.coalesce("root", "node").alias("part"))
     members = materialise(members, "near-members")
     discard(shared)
-    parts = members.groupBy("key", "part").agg(F.count(F.lit(1)).alias("size"))
-    main = parts.groupBy("key").agg(F.max(F.struct("size", "part")).alias("m"), F.sum("size").alias("all"))
-    # the two of a bucket of two have been compared
-    main = materialise(main.where("all > 2 and m.size < all").select("key", F.col("m.part").alias("main"), "all"), "near-main")
+    main = materialise(divided(members), "near-main")
     split = join_sized(members, main, "key", hot_bound(main.count()), "all").join(nodes.select("node", "short"), "node")
     split = materialise(split.select("key", "node", "n", "part", "main", "short"), "near-split")
     x, y = split.where("part <> main").alias("x"), split.alias("y")
