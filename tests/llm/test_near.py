@@ -6,6 +6,7 @@ import re
 import zlib
 
 import corpus_pipeline
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -132,6 +133,14 @@ def test_buckets_of_the_same_nodes_are_paired_once(spark):
     assert sorted(map(tuple, similar.divided(members).collect())) == [(1, 10, 3), (4, 10, 4)]
 
 
+def test_short_parities_tell_large_sets_apart():
+    """Sets of 900 shingles that share two thirds of them don't fit by short parities."""
+    r = np.random.default_rng(43)
+    shared, *own = (r.integers(0, 1 << 63, n, np.uint64) for n in (600, 300, 300))
+    a, b = (np.bitwise_xor.reduce(similar.parities(np.concatenate((shared, x))).reshape(-1, similar.SHORT), axis=0) for x in own)
+    assert sum(int(x).bit_count() for x in (a ^ b).view(np.uint64)) * 9 > 1800
+
+
 def test_golay_keys_link_close_copies(spark, monkeypatch):
     """Close copies are linked by their fingerprints' keys; nothing is left for the set join to compare."""
     r = random.Random(41)

@@ -23,7 +23,7 @@ members outside the largest meet all members of other components, as far as size
 short parities allow. No bucket is cut.
 
 Comparing: sizes, then parities, a bit for each shingle (bits in which two sets differ are
-no more than the shingles in which they do), first 256, then as many as the sets are large,
+no more than the shingles in which they do), first 1,024, then as many as the sets are large,
 then the sets themselves. Equal sets are one
 node, so rows of equal sets share a component; null and blank texts have the empty set.
 """
@@ -47,7 +47,7 @@ STRETCH, OFTEN, MAX_COMMON = 2 << 20, 3, 500_000
 #: Parities of a set, at least; twice as many fold into these.
 LEAST_BITS = 1024
 #: Longs of short parities.
-SHORT = 4
+SHORT = 16
 #: Fingerprints of a set.
 TABLES = 4
 
@@ -115,7 +115,7 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 
 
 def with_keys(docs: DataFrame, size: int, text_col: str, keep: tuple[str, ...]) -> DataFrame:
-    """The columns named in keep and s, a struct: node (of the set), n, keys, bits, short (parities by 256), fps (a fingerprint for each table)."""
+    """The columns named in keep and s, a struct: node (of the set), n, keys, bits, short (parities by 1,024), fps (a fingerprint for each table)."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, size, text_col))
 
     @F.arrow_udf("node long, n long, keys array<long>, bits array<long>, short array<long>, fps array<long>")
