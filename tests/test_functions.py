@@ -62,6 +62,30 @@ def test_kernel_and_expression_agree(spark):
             assert r["a"] == pytest.approx(exact_tail(*row) if row[0] > 1 else 1.0, rel=1e-9)
 
 
+def test_expression_is_exact(spark):
+    """Odds on both sides of 1, supports that begin above 0 or hold one value, n on either side of the mode and beyond the support."""
+    r = random.Random(11)
+    rows = [(r.randint(1, 60), n1, n2, max(n1, n2) + r.randint(0, 90), 2 ** r.uniform(-5, 12)) for n1, n2 in ((r.randint(1, 60), r.randint(1, 60)) for _ in range(400))]
+    rows += [(k, 60, 60, 60, 0.1) for k in (2, 60, 61)] + [(k, 60, 59, 61, w) for k in (57, 58, 59, 60) for w in (0.1, 1.0, 1e6)]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, n long, n1 long, n2 long, t long, w double")
+    out = {k: p for k, p in df.select("k", fnch_tail_sql(*map(F.col, ("n", "n1", "n2", "t", "w")))).collect()}
+    for k, row in enumerate(rows):
+        assert out[k] == pytest.approx(1.0 if row[0] == 1 else exact_tail(*row), rel=1e-9, abs=1e-13), row
+
+
+def test_expression_on_large_margins(spark):
+    """The expression takes the terms that matter, not the whole support, whose list doesn't fit a task here."""
+    far, wide = 2**30, (2**31 - 1) // 4
+    rows = [(wide + k, far, far, 2**31 - 1, 1.0) for k in (400_000, 20_000, 300, 0, -300, -30_000)]
+    rows += [(200_000 + k, 1_000_000, 1_000_000, 5_000_000, w) for k in (-500, 0, 2_000, 9_000) for w in (0.3, 1.0, 1.01, 40.0)]
+    rows += [(5000, 60_000, 70_000, 900_000, 1.1), (999_990, 1_000_000, 1_000_000, 1_000_020, 1.0), (3, 2_000_000, 40, 30_000_000, 2.0)]
+    df = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k int, n long, n1 long, n2 long, t long, w double")
+    out = df.select("k", fnch_tail("n", "n1", "n2", "t", "w").alias("a"), fnch_tail_sql(*map(F.col, ("n", "n1", "n2", "t", "w"))).alias("b")).collect()
+    for r in out:
+        assert r["b"] == pytest.approx(r["a"], rel=1e-7, abs=1e-300), rows[r["k"]]
+    assert len({r["b"] for r in out}) > 10
+
+
 def test_ratios(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("x")).first()["x"]

@@ -8,12 +8,15 @@ summed from n on in units of f(n), which keeps tiny p-values exact. The rows of
 walk in lockstep, as lines of one array.
 
 ``fnch_tail`` is the Arrow kernel; ``fnch_tail_sql`` the same sums as a Spark expression,
-for checks: its higher-order functions visit the whole support.
+for checks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+import operator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ INT32 = 2**31 - 1
 SMALLEST = 1e-23
 #: Terms a row gets at once, at first and at most, and cells that are worked on together.
 FIRST_STEP, LAST_STEP, CELLS = 32, 4096, 1 << 20
+#: Of 1/z, 1/z^3 and so on in the logarithm of the gamma function.
+STIRLING = (1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188, -691 / 360360)
 
 
 class Margins:
@@ -144,20 +149,78 @@ def fnch_tail(n: Column, n1: Column, n2: Column, total: Column, odds: Column) ->
     return F.arrow_udf(_tails, T.DoubleType())(n, n1, n2, total, odds)
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), with value worked out once a row, not wherever it stands."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _log_factorials(a: Column, d: Column) -> Column:
+    """log (a+d)!/a! + d, by Stirling's series 8 places further up; differences are taken before they are multiplied, so
+    nothing is lost at large arguments."""
+    z, shift = a + 8, F.log1p(d / (a + 8))
+    series = lambda z: reduce(lambda acc, c: acc / (z * z) + c, [F.lit(c) for c in reversed(STIRLING)]) / z
+    skipped = reduce(operator.mul, [(a + d + k) / (a + k) for k in range(1, 8)])
+    return (z - 0.5) * shift + d * F.log(z + d) + series(z + d) - series(z) - F.log(skipped)
+
+
 def fnch_tail_sql(n: Column, n1: Column, n2: Column, total: Column, odds: Column) -> Column:
-    """The same by Spark's own functions: log weights over the whole support, scaled by the largest."""
-    low = F.greatest(F.lit(0).cast("long"), n1 + n2 - total)
-    high = F.least(n1, n2)
-    w = F.log(F.greatest(odds, F.lit(MIN_OMEGA)))
-    step = lambda x: F.log(n1 - x + 1) + F.log(n2 - x + 1) + w - F.log(x) - F.log(total - n1 - n2 + x)
-    start = F.struct(F.lit(0.0).alias("log_f"), F.lit(0.0).alias("peak"), F.lit(1.0).alias("all"), F.when(low >= n, 1.0).otherwise(0.0).alias("tail"))
-
-    def add(acc: Column, x: Column) -> Column:
-        log_f = acc["log_f"] + step(x)
-        peak = F.greatest(acc["peak"], log_f)
-        scale, term = F.exp(acc["peak"] - peak), F.exp(log_f - peak)
-        return F.struct(log_f.alias("log_f"), peak.alias("peak"), (acc["all"] * scale + term).alias("all"), (acc["tail"] * scale + F.when(x >= n, term).otherwise(0.0)).alias("tail"))
-
-    support = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
-    value = F.aggregate(support, start, add, lambda acc: acc["tail"] / acc["all"])
-    return F.when(n == 1, F.lit(1.0)).when(n.isNotNull(), value)
+    """The same by Spark's own functions, which can't leave a walk early: its length is worked out before.
+
+    log f is concave: from the mode outwards, the logarithm of f(x)/f(x-1) falls at each step by at
+    least 1/x + 1/(n1-x+1), and so for the other factors.
+    """
+    to = lambda c: c.cast("double")
+    rest = to(total) - to(n1) - to(n2)
+    given = F.struct(
+        to(n).alias("n"), to(n1).alias("n1"), to(n2).alias("n2"), rest.alias("rest"), F.greatest(odds, F.lit(MIN_OMEGA)).alias("w"),
+        F.greatest(F.lit(0.0), -rest).alias("low"), to(F.least(n1, n2)).alias("high"),
+    )
+    value = _let(given, lambda v: F.when(v["n"] <= v["low"], 1.0).when(v["n"] > v["high"], 0.0).otherwise(_let(_mode(v), lambda mode: _open_tail(v, mode))))
+    known = reduce(operator.and_, [c.isNotNull() for c in (n, n1, n2, total, odds)])
+    return F.when(known, F.when(n == 1, F.lit(1.0)).otherwise(value))
+
+
+def _mode(v: Column) -> Column:
+    a, b, c = v["w"] - 1, -((v["n1"] + v["n2"] + 2) * v["w"] + v["rest"]), (v["n1"] + 1) * (v["n2"] + 1) * v["w"]
+    root = F.sqrt(F.greatest(b * b - 4 * a * c, F.lit(0.0)))
+    # b is positive for odds below 1 only
+    place = F.when(b > 0, (b + root) / (-2 * a)).otherwise(2 * c / (root - b))
+    return F.greatest(v["low"], F.least(v["high"], F.floor(place).cast("double")))
+
+
+def _open_tail(v: Column, mode: Column) -> Column:
+    """P(X >= n) of a row whose n is above the least value and not above the greatest."""
+    over = lambda x: (v["n1"] - x + 1) * (v["n2"] - x + 1) * v["w"]
+    under = lambda x: x * (v["rest"] + x)
+
+    def reach(ahead: Column, behind: Column, first: Column) -> Column:
+        """Terms after which f is below SMALLEST of its value at the start; first: the first one's share of it."""
+        most = -math.log(SMALLEST)
+        by_slope = F.least(F.sqrt(2 * most * (ahead + 1)), most + F.sqrt(most**2 + 2 * most * (behind + 2)), F.when(first < 1, -most / F.log(first)))
+        return F.least(ahead, F.ceil(by_slope).cast("double") + 2)
+
+    def walk(far: Column, near: Column, step: int, share: Callable[[Column], Column]) -> Column:
+        """1 + share(near) (1 + share(next) (...)): inwards, as one product and one sum a term."""
+        places = F.sequence(far.cast("long"), near.cast("long"), F.lit(step).cast("long"))
+        return F.aggregate(places, F.lit(0.0), lambda acc, x: acc * share(x.cast("double")) + 1)
+
+    def up(x: Column) -> Column:
+        """The sum of f from x on, in units of f(x); x at the mode or right of it."""
+        end = x + reach(v["high"] - x, x - v["low"], over(x + 1) / under(x + 1))
+        return walk(end + 1, x + 1, -1, lambda x: over(x) / under(x))
+
+    def down(x: Column) -> Column:
+        end = x - reach(x - v["low"], v["high"] - x, under(x) / over(x))
+        return walk(end, x, 1, lambda x: under(x) / over(x))
+
+    def height(x: Column) -> Column:
+        """log f(x)/f(mode); what the parts have beyond the factorials, d and -d twice, cancels."""
+        d = x - mode
+        parts = _log_factorials(mode, d), _log_factorials(v["rest"] + mode, d), _log_factorials(v["n1"] - mode, -d), _log_factorials(v["n2"] - mode, -d)
+        return d * F.log(v["w"]) - reduce(operator.add, parts)
+
+    whole = up(mode) + down(mode) - 1
+    above = lambda whole: F.exp(height(v["n"]) + F.log(up(v["n"])) - F.log(whole))
+    below = lambda whole: F.exp(height(v["n"] - 1)) * down(v["n"] - 1) / whole
+    # as in upper_tails
+    return _let(whole, lambda whole: F.when(v["n"] > mode, above(whole)).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - below(whole)))))
